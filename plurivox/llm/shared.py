@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
         col = batch.column(text)
         if not len(col):
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(col)]
         for a, b in zip(cuts, cuts[1:]):
@@ -80,7 +81,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not pa.types.is_string(col.type):
             col = col.cast(pa.string())
     if col.null_count:
-        col = pa.compute.fill_null(col, "")
+        col = pc.fill_null(col, "")
     _, offs, data = col.buffers()
     offsets = np.frombuffer(offs, dtype=width)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
