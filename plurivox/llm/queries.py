@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, secrets, toxicity, urlrules
+from . import bpe, decontam, quality, secrets, substring, toxicity, urlrules
 from .shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,5 +39,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op4_decontamination, op6_toxicity, op7_quality, op8_url_rules, op9_bpe)}
-ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op4_decontamination, op6_toxicity, op7_quality, op8_url_rules, op9_bpe, op10_substring_dedup)}
+ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE}
