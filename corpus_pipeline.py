@@ -1,11 +1,31 @@
-"""The training-data pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of its input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plurivox.llm import bpe, decontam, jaccard, quality, secrets
+from plurivox.llm.shared import table, without_ids, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier and their site's posterior do not reject."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
 
-from plurivox.llm import bpe, secrets
-from plurivox.llm.shared import table, written
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest id, of each group of near duplicates; documents without an id stay."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item; documents without an id are judged together."""
+    verdict = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, written(verdict.where("contaminated").select("doc_id"), "pipeline-contaminated"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,11 +34,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each kept text."""
-    return bpe.encode(docs)
-
-
-STAGES = [("secrets", mask_secrets), ("bpe", encode)]
+    """doc_id, n_tokens and token ids of each kept text."""
+    return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("bpe", encode),
+]
+#: The quality classifier is trained, which SQL cannot express.
 ORACLE_SQL = None
 
 

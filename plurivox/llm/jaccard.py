@@ -276,6 +276,16 @@ def join(docs: DataFrame) -> DataFrame:
     return nodes.join(final, "node", "left").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min("component_id"), F.col("doc_id")).alias("component_id"), F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` of the smallest doc_id of each component, each id once; rows without an id stay."""
+    gone = written(join(docs).where("doc_id is not null and doc_id != component_id").select("doc_id"), "jaccard-gone")
+    kept = shared.without_ids(docs, gone)
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "jaccard-again")
+    if again.isEmpty():
+        return kept
+    return shared.without_ids(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 ORACLE = """
     WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
     s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, quality, secrets, substring, toxicity, urlrules
+from . import bpe, decontam, jaccard, lm, multiindex, quality, secrets, substring, toxicity, urlrules
 from .shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -24,6 +28,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
@@ -47,5 +55,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op3_jaccard_join, op4_decontamination, op6_toxicity, op7_quality, op8_url_rules, op9_bpe, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_multi_index, op3_jaccard_join, op4_decontamination, op5_pitman_yor, op6_toxicity, op7_quality, op8_url_rules, op9_bpe, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard.ORACLE, "op4_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE}

@@ -37,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is none of `ids`; a null id is an id here."""
+    ids = ids.select(F.col("doc_id").alias("_gone"))
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -58,14 +69,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` in slices of at most about STEP_BYTES of text."""
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in slices of at most about `size` bytes of text."""
     for batch in batches:
         col = batch.column(text)
         if not len(col):
             continue
         sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
+        group = np.cumsum(sizes, dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(col)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
