@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import vectors
+from . import ingestion, texts, vectors
 
-MODULES = (vectors,)
+MODULES = (vectors, texts, ingestion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
