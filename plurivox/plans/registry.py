@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingestion, texts, vectors
+from . import ingestion, opinions, texts, vectors
 
-MODULES = (vectors, texts, ingestion)
+MODULES = (vectors, texts, ingestion, opinions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
