@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingestion, names, opinions, texts, vectors
+from . import ingestion, metrics, names, opinions, texts, vectors
 
-MODULES = (vectors, texts, ingestion, opinions, names)
+MODULES = (vectors, texts, ingestion, opinions, names, metrics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

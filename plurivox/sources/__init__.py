@@ -1,0 +1 @@
+"""Sources, sinks and tables in a shared folder."""
