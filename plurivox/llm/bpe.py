@@ -9,6 +9,8 @@ The text steps of the file (special tokens in the raw text, NFC, white space run
 byte-level alphabet, word end) are kept as the tokenizers library does them; its decode without a decoder joins the
 tokens by one space.
 
+Characters that Unicode has had only since version 15.1 can be split otherwise, as libraries' tables differ.
+
 Defined cases: a null or empty text has no ids and decodes to an empty text; a null doc_id and repeated rows give
 one result row per input row; other columns are ignored.
 """

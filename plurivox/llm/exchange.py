@@ -36,6 +36,17 @@ def pack(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[np.ndarr
     return full.astype(np.int32), order, [blob(c[order], cuts) for c in columns]
 
 
+def narrow(h: np.ndarray) -> np.ndarray:
+    """The low 48 bits of hashes as six bytes each."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def joined(cells: pa.ChunkedArray, dtype) -> np.ndarray:
     """All blobs of a column, one after the other."""
     return np.frombuffer(b"".join(c.as_py() or b"" for c in cells), dtype=dtype)
