@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingestion, metrics, names, opinions, streams, texts, vectors
+from . import enrichment, ingestion, metrics, names, opinions, streams, texts, vectors
 
-MODULES = (vectors, texts, ingestion, opinions, names, metrics, streams)
+MODULES = (vectors, texts, ingestion, opinions, names, metrics, streams, enrichment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
