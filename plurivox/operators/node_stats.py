@@ -20,12 +20,12 @@ def consensus(n: str = "n", ss: str = "ss"):
 def theme_cards(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """n, dispersion, consensus, share and convergence n / (n + median n) * consensus of each group."""
     stats = sum_norms(vectors, key, vector)
-    whole = stats.agg(F.greatest(F.lit(1.0), F.percentile("n", 0.5)).alias("k"), F.sum("n").alias("total"))
+    whole = stats.agg(F.greatest(F.lit(1.0), F.percentile("n", 0.5)).alias("_median"), F.sum("n").alias("_total"))
     return stats.crossJoin(F.broadcast(whole)).select(
         key,
         "n",
         F.round(1 - F.sqrt("ss") / F.col("n"), 4).alias("dispersion"),
         F.round(consensus(), 4).alias("consensus"),
-        F.round(F.col("n") / F.col("total"), 4).alias("share"),
-        F.round(F.col("n") / (F.col("n") + F.col("k")) * consensus(), 4).alias("convergence"),
+        F.round(F.col("n") / F.col("_total"), 4).alias("share"),
+        F.round(F.col("n") / (F.col("n") + F.col("_median")) * consensus(), 4).alias("convergence"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import closure, node_stats, vector
+from ..operators import closure, coarsen, node_stats, vector
 from ..sources.shared import checkpointed
 from .base import Catalogue, read
 
@@ -169,6 +169,25 @@ def live_recluster(spark, d):
     return node_stats.theme_cards(vs.select("vec_id", "embedding").join(labels, F.col("vec_id") == F.col("node")).select("label", "embedding"), "label", "embedding")
 
 
+@C.query()
+def root_coarsening(spark, d):
+    """Themes merged to coarser roots (sequential over at most 512 sums, so without SQL)."""
+    return coarsen.roots(read(spark, d, "embeddings"), "label", "embedding")
+
+
+@C.query()
+def threshold_sweep(spark, d):
+    """Communities and their modularity at several edge thresholds (iterative, so without SQL)."""
+    near = checkpointed(_knn(spark, d))
+    out = None
+    for t in (0.25, 0.3, 0.35):
+        links = checkpointed(vector.edges(near, t))
+        labels = vector.label_propagation(links, 4, checkpointed)
+        row = vector.modularity(links, labels).crossJoin(F.broadcast(labels.agg(F.count_distinct("label").alias("communities")))).withColumn("threshold", F.lit(t))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @C.query("SELECT count(*) AS before, sum(CASE WHEN c >= 0.2 THEN 1 ELSE 0 END) AS correlated, round(max(c), 6) AS top FROM (SELECT round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS c FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id > 0)")
 def submission_correlation(spark, d):
     """One submission against all before it: only aggregates leave."""
