@@ -11,14 +11,15 @@ Bands and pigeonhole. Similar sets have sizes within a factor 1.25, so they lie
 a set joins in its own band and in the next. There the symmetric difference of similar sets is at most d =
 (|A| + |B|) / 9. With k = d + m blocks at least m blocks have no difference. Blocks without a shingle say nothing, so
 only others become keys: if one of the two sets has fewer than m empty blocks, the pair meets in a key. A set with
-more hashes again by the next seed, until it has fewer; sets left after all seeds share one more key a band. So
-no similar pair is lost.
+more hashes again by the next seed, until it has fewer. First only shingles that are rare in a sample count, so that a
+passage of many documents makes no keys; sets without enough of these make keys of all their shingles too, and sets
+left after all seeds share one more key a band. So no similar pair is lost, whatever counts as rare.
 
-Hot groups. A key's nodes are never paired with each other. First every node is checked against the smallest node that
-shares most of its keys. Then only keys with several components are looked at, and there one pivot stands for the nodes
+Hot groups. A key's nodes are never paired with each other. First every node is checked against the most central node of
+its keys, the one that shares keys with most nodes. Then only keys with several components are looked at, and there one pivot stands for the nodes
 linked to it: by the triangle inequality of the symmetric difference two pivots further apart than the bound plus
-both radii have no similar nodes. Only what this leaves open is checked node by node. A step sends its nodes of one
-key once, settled if there are several.
+both radii have no similar nodes. Only what this leaves open is checked node by node. Pairs whose parity sketches are too
+far apart go first, before any text moves. A step sends its nodes of one key once, settled if there are several.
 
 Verification compares whole sets, streamed by leader in salted groups of bounded memory; a folded parity sketch rules pairs out first.
 
@@ -48,7 +49,10 @@ FOLD_BITS = 4096
 #: Members of one leader that one group verifies.
 SALT_ROWS = 2000
 BROADCAST_IDS = 2_000_000
+#: Documents, least number of them and most shingles of the choice of common shingles.
+SAMPLE, COMMON, COMMON_MOST = 4096, 8, 500_000
 _U = np.uint64
+_LOW = _U((1 << 48) - 1)
 
 
 def limit(total):
@@ -93,57 +97,101 @@ def signature(s: np.ndarray) -> np.int64:
     return h.view(np.int64)[0]
 
 
-def keys(s: np.ndarray, table: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """The keys under which a set can meet similar sets."""
+def _blocks(s: np.ndarray, band: int, k: int, seed: int, space: int) -> np.ndarray:
+    """One key for each block of `s` that holds a shingle."""
+    h = np.sort(mix(s + _U(seed * 0x51ED27 + band)))
+    block = ((h >> _U(32)) * _U(k)) >> _U(32)
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    bits = np.bitwise_xor.reduceat(mix(h), first)
+    return mix(bits ^ mix(block[first] * _U(SEEDS) + _U(seed)) ^ mix(np.array([band * 2 + space + 7], np.uint64)))
+
+
+def keys(s: np.ndarray, table: list[tuple[int, int, int, int]], common: np.ndarray) -> np.ndarray:
+    """The keys under which a set can meet similar sets. `common`: sorted shingles that say little; any choice is exact."""
     n = len(s)
     if n < 4:  # similar to equal sets alone
         return np.zeros(0, np.uint64)
     own = next(i for i, (lo, hi, _, _) in enumerate(table) if lo <= n < hi)
+    rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s] if len(common) else s
     out = []
     for band in (own, own + 1):
         _, _, k, m = table[band]
-        for seed in range(SEEDS):
-            h = np.sort(mix(s + _U(seed * 0x51ED27 + band)))
-            block = ((h >> _U(32)) * _U(k)) >> _U(32)
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            bits = np.bitwise_xor.reduceat(mix(h), first)
-            out.append(mix(bits ^ mix(block[first] * _U(SEEDS) + _U(seed)) ^ mix(np.array([band + 7], np.uint64))))
-            if k - len(first) < m:
+        for space, part in enumerate((rare, s)):
+            safe = False
+            for seed in range(SEEDS if len(part) else 0):
+                out.append(_blocks(part, band, k, seed, space))
+                safe = k - len(out[-1]) < m
+                if safe:
+                    break
+            if safe:
                 break
         else:
             out.append(mix(np.array([band], np.uint64) ^ _U(0xABCDEF)))
     return np.concatenate(out)
 
 
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted shingles of at least COMMON of the SAMPLE documents with the smallest hashed ids, COMMON_MOST at most.
+
+    They only steer which keys are made: the join is exact whatever they are."""
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in shared.steps(batches):
+            found = [s for _, s in sets(shared.Words(step.column(1)))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "h long")
+    often = rows.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "h").limit(COMMON_MOST)
+    return np.sort(np.array([r[0] for r in often.select("h").collect()], dtype=np.int64).view(np.uint64))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parity sketch of a set, with as many bits as the next power of two from its size on, 64 at least."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((mix(s ^ _U(0x5DEECE66D)) % _U(bits)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two sketches, the longer folded onto the shorter: a lower bound of the symmetric difference."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
 def fold(s: np.ndarray) -> np.ndarray:
     """A parity sketch of FOLD_BITS bits."""
     return np.bincount((mix(s ^ _U(0x5DEECE66D)) % _U(FOLD_BITS)).astype(np.int64), minlength=FOLD_BITS) & 1
 
 
 def documents_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), node (signature of the set; null for an empty one)."""
+    """doc_id, n (distinct shingles), node (signature of the set; null for an empty one), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in shared.steps(batches):
-            n, node = np.zeros(step.num_rows, np.int64), [None] * step.num_rows
+            n, node, bits = np.zeros(step.num_rows, np.int64), [None] * step.num_rows, [None] * step.num_rows
             for k, s in sets(shared.Words(step.column(1))):
-                n[k], node[k] = len(s), int(signature(s))
-            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+                n[k], node[k], bits[k] = len(s), int(signature(s)), sketch(s)
+            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary")
 
 
-def _entries(docs: DataFrame, table: list, buckets: int) -> DataFrame:
+def _entries(docs: DataFrame, table: list, buckets: int, common: np.ndarray) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(common)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "key", "node", "many"]
         for step in shared.steps(batches):
             parts, nodes = [], []
             for _, s in sets(shared.Words(step.column(1))):
-                parts.append(keys(s, table))
+                parts.append(keys(s, table, held.value))
                 nodes.append(np.full(len(parts[-1]), signature(s)))
             if not parts or not sum(map(len, parts)):
                 continue
-            key, node = np.concatenate(parts), np.concatenate(nodes)
+            key, node = np.concatenate(parts) & _LOW, np.concatenate(nodes)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
@@ -151,18 +199,18 @@ def _entries(docs: DataFrame, table: list, buckets: int) -> DataFrame:
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             several = np.repeat(size > 1, size)
-            full, _, blobs = exchange.pack(key[start], buckets, key[start], node[start], (size > 1).astype(np.uint8))
+            full, _, blobs = exchange.pack(key[start], buckets, exchange.narrow(key[start]), node[start], (size > 1).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array(full), *blobs], names=names)
             if several.any():
                 cuts = np.array([0, int(several.sum())])
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(key[0] % _U(buckets))], pa.int32()), exchange.blob(key[several], cuts), exchange.blob(node[several], cuts), exchange.blob(np.zeros(0, np.uint8), np.array([0, 0]))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(key[0] % _U(buckets))], pa.int32()), exchange.blob(exchange.narrow(key[several]), cuts), exchange.blob(node[several], cuts), exchange.blob(np.zeros(0, np.uint8), np.array([0, 0]))], names=names)
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, key binary, node binary, many binary")
 
 
 def _answer(part: pa.Table) -> pa.Table:
     """Members of the keys that two nodes or more share."""
-    key, node = exchange.joined(part["key"], np.uint64), exchange.joined(part["node"], np.int64)
+    key, node = exchange.wide(exchange.joined(part["key"], np.uint8).tobytes()), exchange.joined(part["node"], np.int64)
     if part["bucket"][0].as_py() >= 0:
         many = exchange.joined(part["many"], np.uint8)
         order = np.lexsort((node, key))
@@ -222,21 +270,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
     return written(grouped.mapInArrow(run, "lead long, member long, delta long, linked boolean, slack long"), "jaccard-verified")
 
 
+def _near(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The `pairs` (pivot1, pivot2, slack, bound) whose sketches are at most slack + bound apart."""
+    for side in "12":
+        pairs = pairs.join(names.select(F.col("node").alias(f"pivot{side}"), F.col("sketch").alias(f"sketch{side}")), f"pivot{side}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            ok = [hamming(a.as_py(), b.as_py()) <= m for a, b, m in zip(batch.column(4), batch.column(5), most)]
+            yield batch.select(["pivot1", "pivot2", "slack", "bound"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.select("pivot1", "pivot2", "slack", "bound", "sketch1", "sketch2").mapInArrow(run, "pivot1 long, pivot2 long, slack long, bound long")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (verified links of the document's set to other sets)."""
     nodes = written(documents_sets(docs), "jaccard-sets")
     live = nodes.where("node is not null and doc_id is not null")
-    names = written(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-names")
+    names = written(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-names")
     largest = names.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     table = bands(largest)
-    entries = _entries(docs, table, exchange.buckets_for(docs))
+    entries = _entries(docs, table, exchange.buckets_for(docs), common_shingles(docs))
     shared_keys = written(entries.groupBy("bucket").applyInArrow(_answer, "key long, node long").distinct(), "jaccard-keys")
     who, sizes = names.select("node", "rep"), names.select("node", "n")
 
-    # every node against the smallest node of most of its keys
-    least = shared_keys.groupBy("key").agg(F.min("node").alias("lead"))
-    stars = shared_keys.join(least, "key").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
-    best = stars.groupBy("node").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
+    # every node against the most central node of most of its keys: the one that shares keys with most nodes
+    sizes_of = shared_keys.groupBy("key").agg(F.count("*").alias("c"))
+    central = written(shared_keys.join(sizes_of, "key").groupBy("node").agg(F.sum("c").alias("weight")), "jaccard-central")
+    lead = shared_keys.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
+    stars = shared_keys.join(lead, "key").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
+    best = stars.join(central.withColumnRenamed("node", "lead"), "lead").groupBy("node").agg(F.max_by("lead", F.struct("c", "weight", "lead")).alias("lead"))
     first = _verified(best.select("lead", F.col("node").alias("member"), F.lit(0).cast("long").alias("slack")), docs, who)
     links = first.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b"))
     comp = components(links)
@@ -253,18 +317,26 @@ def join(docs: DataFrame) -> DataFrame:
     held = written(held.join(mixed, "key"), "jaccard-mixed")
     by_pivot = held.groupBy("key", "pivot", "component").agg(F.max("r").alias("r"), F.max("n").alias("n"))
     left, right = (by_pivot.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "component", "r", "n"))) for s in "12")
-    open_pairs = left.join(right, "key").where("pivot1 < pivot2 and component1 != component2").groupBy("pivot1", "pivot2").agg(F.max(F.col("r1") + F.col("r2")).alias("slack"), F.max(F.expr(f"(n1 + n2) * {DEN - NUM} div {DEN + NUM}")).alias("bound"))
-    open_pairs = written(open_pairs, "jaccard-open")
+    bound = F.expr(f"(n1 + n2) * {DEN - NUM} div {DEN + NUM}")
+    apart = F.abs(F.col("n1") - F.col("n2")) <= bound + 2 * (F.col("r1") + F.col("r2"))
+    open_pairs = left.join(right, "key").where((F.col("pivot1") < F.col("pivot2")) & (F.col("component1") != F.col("component2")) & apart)
+    open_pairs = open_pairs.groupBy("pivot1", "pivot2").agg(F.max(F.col("r1") + F.col("r2")).alias("slack"), F.max(bound).alias("bound"))
+    open_pairs = written(_near(open_pairs, names), "jaccard-open")
     tried = first.select(F.least("lead", "member").alias("pivot1"), F.greatest("lead", "member").alias("pivot2"))
     second = _verified(open_pairs.join(tried, ["pivot1", "pivot2"], "left_anti").select(F.col("pivot1").alias("lead"), F.col("pivot2").alias("member"), (F.col("slack") + F.col("bound")).alias("slack")), docs, who)
     distances = second.unionByName(first).select(F.least("lead", "member").alias("pivot1"), F.greatest("lead", "member").alias("pivot2"), "delta", "linked")
-    unsure = open_pairs.where("slack > 0").join(distances, ["pivot1", "pivot2"]).where("not linked and delta <= slack + bound").select("pivot1", "pivot2")
-    ones, twos = (held.select("key", F.col("node").alias(f"node{s}"), F.col("pivot").alias(f"pivot{s}")) for s in "12")
-    third = unsure.join(ones, "pivot1").join(twos, ["key", "pivot2"]).where("node1 != pivot1 or node2 != pivot2").select(F.least("node1", "node2").alias("lead"), F.greatest("node1", "node2").alias("member"), F.lit(0).cast("long").alias("slack"))
-    third = _verified(third, docs, who)
-
-    linked = [x.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b")) for x in (first, second, third)]
-    links = linked[0].union(linked[1]).union(linked[2])
+    pairs_of = lambda x: x.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b"))
+    now = written(components(links.union(pairs_of(second))), "jaccard-components")
+    unsure = open_pairs.where("slack > 0").join(distances, ["pivot1", "pivot2"]).where("not linked and delta <= slack + bound").select("pivot1", "pivot2", "delta")
+    for s in "12":  # pivots that other links have joined meanwhile are settled
+        unsure = unsure.join(now.select(F.col("node").alias(f"pivot{s}"), F.col("component").alias(f"now{s}")), f"pivot{s}", "left").withColumn(f"now{s}", F.coalesce(f"now{s}", f"pivot{s}"))
+    unsure = written(unsure.where("now1 != now2").select("pivot1", "pivot2", "delta"), "jaccard-unsure")
+    ones, twos = (held.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("node", "pivot", "r", "n"))) for s in "12")
+    likely = F.expr(f"abs(n1 - n2) <= (n1 + n2) * {DEN - NUM} div {DEN + NUM} and delta <= r1 + r2 + (n1 + n2) * {DEN - NUM} div {DEN + NUM} and (node1 != pivot1 or node2 != pivot2)")
+    third = unsure.join(ones, "pivot1").join(twos, ["key", "pivot2"]).where(likely).select(F.least("node1", "node2").alias("pivot1"), F.greatest("node1", "node2").alias("pivot2"), F.lit(0).cast("long").alias("slack"), F.expr(f"(n1 + n2) * {DEN - NUM} div {DEN + NUM}").alias("bound"))
+    third = _verified(_near(third.distinct(), names).select(F.col("pivot1").alias("lead"), F.col("pivot2").alias("member"), "slack"), docs, who)
+
+    links = links.union(pairs_of(second)).union(pairs_of(third))
     # rows that share a doc_id tie their sets together
     several = live.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "doc_id")
     tied = live.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a != b")
