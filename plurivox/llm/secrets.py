@@ -1,11 +1,15 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that adds spans.
 
-Tokens are runs of non-space characters. A token without a digit and without one of `= : _` is plain
-and can only be outside a secret (a structural zero of the model), so Viterbi over each run of other
-tokens is exact for the whole text. States: outside, begin, inside; inside never follows outside.
-The features of a token are its shape, length, prefix, key words in it, the neighbouring words and shapes, and
-file features (share of such tokens, assignment-like lines). Training labels are the fixed patterns' own
-matches in a bounded sample of the table (`SAMPLE` documents, those of the smallest hashed ids).
+Tokens are runs of non-space characters, and every token of a text is decoded. States: outside, begin, inside; inside
+never follows outside. The features of a token are its shape, length, prefix, key words in it, the neighbouring words
+and shapes, and file features (share of tokens with a digit or one of `= : _`, assignment-like lines). What a token
+adds to the scores by itself, as neighbour before and as neighbour after is cached by token. Tokens that are outside in
+every best path (by a bound on what any other state could gain) cut the text; Viterbi runs over the stretches between
+them, so the path is the best of the whole text.
+
+Training labels are the fixed patterns' own matches in a bounded sample of the table (`SAMPLE` documents, those of the
+smallest hashed ids). A training sequence holds all tokens of a match, and `WINDOW` tokens on either side of each
+match, each token with a digit or one of `= : _`, and each key word.
 
 Defined cases: a null or empty text has no spans; a null doc_id and repeated rows give one result row per input
 row; other columns are ignored; an empty table trains an empty model and returns no rows.
@@ -16,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +34,10 @@ from pyspark.sql import types as T
 SAMPLE = 4000
 FEATURES = 1 << 13
 EPOCHS = 8
+#: Tokens beside a match, trigger or key word that a training sequence holds.
+WINDOW = 8
+#: Tokens in a worker's cache of scores; a full cache starts anew.
+CACHE = 200_000
 KINDS = ("assign", "access", "hex", "crf")
 
 # Fixed patterns of the base kinds.
@@ -36,6 +45,7 @@ ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same matches as [0-9a-f]+ of 24 characters or more
 
+_TOKEN = re.compile(r"\S+")
 _TRIGGER = re.compile(r"[0-9=:_]")
 _REST = re.compile(r"\S*")
 _REPEAT = re.compile(r"(.)\1+")
@@ -77,28 +87,67 @@ def _shape(token: str) -> str:
     return _REPEAT.sub(r"\1", token[:40].translate(_SHAPE))[:10]
 
 
+def windows(text: str, base: list[tuple[str, int, int]]) -> list[list[tuple[int, int]]]:
+    """The tokens of a text that training reads, in sequences of adjacent ones."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+    marked = {k for _, s, e in base for k in range(bisect_right(ends, s), bisect_left(starts, e))}
+    out: list[list[tuple[int, int]]] = []
+    near = [False] * len(tokens)
+    for k, (start, end) in enumerate(tokens):
+        token = text[start:end]
+        low = token.lower()
+        if k in marked or _TRIGGER.search(token) or any(x in low for x in _KEYS):
+            for j in range(max(0, k - WINDOW), min(len(tokens), k + WINDOW + 1)):
+                near[j] = True
+    for k, token in enumerate(tokens):
+        if near[k]:
+            if not k or not near[k - 1]:
+                out.append([])
+            out[-1].append(token)
+    return out
+
+
+def _numbers(names: list[str]) -> list[int]:
+    return [zlib.crc32(x.encode()) % FEATURES for x in names]
+
+
+def _file(text: str) -> list[int]:
+    share = min(9, int(1000 * sum(map(len, runs(text))) / (len(text) + 1)))
+    return _numbers(["bias", f"share={share}", f"assigns={min(3, text.count('=') + text.count(': '))}"])
+
+
+def _own(token: str) -> list[int]:
+    size, token = len(token), token[:200]
+    low = token.lower()
+    names = [f"shape={_shape(token)}", f"len={min(12, size // 4)}", f"head={token[:4]}", f"kinds={len(set(token)) * 8 // len(token)}", *(f"key={k}" for k in _KEYS if k in low)]
+    if len(token) >= 16 and not set(low) - set("0123456789abcdef"):
+        names.append("hex")
+    return _numbers(names)
+
+
+def _before(prev: str) -> list[int]:
+    low = prev[-64:].lower()
+    return _numbers([f"prev={low[-12:]}", f"prevend={prev[-1:]}", f"prevshape={_shape(prev[-64:])}", *(f"prevkey={k}" for k in _KEYS if k in low)])
+
+
+def _before2(prev: str) -> list[int]:
+    return _numbers([f"prev2={prev[-64:].lower()[-12:]}"])
+
+
+def _after(token: str) -> list[int]:
+    return _numbers([f"next={_shape(token)}"])
+
+
 def features(text: str, found: list[list[tuple[int, int]]]) -> list[list[list[int]]]:
     """Feature numbers of each token of each run."""
-    n = sum(map(len, found))
-    file = [f"share={min(9, int(1000 * n / (len(text) + 1)))}", f"assigns={min(3, text.count('=') + text.count(': '))}"]
-    fixed = [zlib.crc32(x.encode()) % FEATURES for x in ["bias", *file]]
-    out = []
-    for run in found:
-        rows = []
-        for start, end in run:
-            token, before = text[start : min(end, start + 200)], text[max(0, start - 64) : start].split()
-            after = text[end : end + 48].split(None, 1)
-            prev, low = before[-1] if before else "^", token.lower()
-            names = [
-                f"shape={_shape(token)}", f"len={min(12, (end - start) // 4)}", f"head={token[:4]}", f"kinds={len(set(token)) * 8 // len(token)}",
-                f"prev={prev.lower()[-12:]}", f"prev2={before[-2].lower()[-12:] if len(before) > 1 else '^'}", f"prevend={prev[-1:]}", f"prevshape={_shape(prev)}",
-                f"next={_shape(after[0]) if after else '$'}", *(f"key={k}" for k in _KEYS if k in low), *(f"prevkey={k}" for k in _KEYS if k in prev.lower()),
-            ]
-            if len(token) >= 16 and not set(low) - set("0123456789abcdef"):
-                names.append("hex")
-            rows.append(fixed + [zlib.crc32(x.encode()) % FEATURES for x in names])
-        out.append(rows)
-    return out
+    if not found:
+        return []
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    place = {start: k for k, (start, _) in enumerate(spans)}
+    words = ["^", "^", *(text[a:b] for a, b in spans), "$"]
+    fixed = _file(text)
+    return [[fixed + _own(words[k + 2]) + _before(words[k + 1]) + _before2(words[k]) + _after(words[k + 3]) for k in (place[start] for start, _ in run)] for run in found]
 
 
 class Model:
@@ -121,11 +170,13 @@ class Model:
         return out
 
     def viterbi(self, rows: list[list[int]]) -> list[int]:
-        t, best, back = self.t, None, []
-        for e in self.scores(rows):
-            if best is None:
-                best = e
-                continue
+        return self._path(self.scores(rows))
+
+    def _path(self, scores: list[list[float]], first: list[float] | None = None, last: list[float] | None = None) -> list[int]:
+        """The best states; `first` and `last` weigh what stands before and after them."""
+        t, back = self.t, []
+        best = [x + y for x, y in zip(scores[0], first or (0.0, 0.0, 0.0))]
+        for e in scores[1:]:
             now, frm = [], []
             for s in (0, 1, 2):
                 c = max((0, 1, 2), key=lambda p: best[p] + t[p][s])
@@ -133,11 +184,56 @@ class Model:
                 now.append(best[c] + t[c][s] + e[s])
             best = now
             back.append(frm)
+        if last:
+            best = [x + y for x, y in zip(best, last)]
         path = [max((0, 1, 2), key=best.__getitem__)]
         for frm in reversed(back):
             path.append(frm[path[-1]])
         return path[::-1]
 
+    def __getstate__(self) -> dict:
+        return {"w": self.w, "t": self.t}
+
+    def _sum(self, numbers: list[int]) -> list[float]:
+        o = b = i = 0.0
+        for f in numbers:
+            x = self.w[f]
+            o, b, i = o + x[0], b + x[1], i + x[2]
+        return [o, b, i]
+
+    def _cached(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its scores by itself, as word before, as second word before, and as word after."""
+        if "rows" not in self.__dict__ or len(self.known) + len(set(words)) > max(CACHE, len(set(words))):
+            self.known: dict[str, int] = {}
+            self.rows = np.zeros((1024, 12))
+        known = self.known
+        for word in words:
+            if word not in known:
+                k = known[word] = len(known)
+                if k == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[k] = self._sum(_own(word)) + self._sum(_before(word)) + self._sum(_before2(word)) + self._sum(_after(word))
+        return self.rows[[known[word] for word in words]]
+
+    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[int]:
+        """The best states of all tokens of a text."""
+        n = len(tokens)
+        rows = self._cached(["^", "^", *(text[a:b] for a, b in tokens), "$"])
+        e = rows[2:-1, :3] + rows[1:-2, 3:6] + rows[:-3, 6:9] + rows[3:, 9:] + np.array(self._sum(_file(text)))
+        e[0, 2] = -1e9
+        # the most that a stretch of begin and inside gains over outside, for the best stretch that holds each token
+        t = self.t
+        enter, leave = max(0.0, t[0][1] - t[0][0]), max(0.0, t[1][0] - t[0][0], t[2][0] - t[0][0])
+        stay = max(t[p][q] for p in (1, 2) for q in (1, 2)) - t[0][0]
+        total = np.r_[0.0, np.cumsum(e[:, 1:].max(axis=1) - e[:, 0] + stay)]
+        most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        sure = most - stay + enter + leave + abs(t[0][0]) < -1e-6
+        path = np.zeros(n, int)
+        edges = np.flatnonzero(np.diff(np.r_[True, sure, True].astype(int)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            path[a:b] = self._path(e[a:b].tolist(), t[0] if a else None, [t[s][0] for s in (0, 1, 2)] if b < n else None)
+        return path.tolist()
+
     def fit(self, sequences: list[tuple[list[list[int]], list[int]]], rate: float = 0.3) -> Model:
         """Stochastic gradient ascent on the conditional likelihood, forward-backward for the expectations."""
         order = np.random.default_rng(7)
@@ -173,14 +269,13 @@ class Model:
         return self
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        found = runs(text)
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
         out: list[list[int]] = []
-        for run, rows in zip(found, features(text, found)):
-            for (start, end), s in zip(run, self.viterbi(rows)):
-                if s == 1:
-                    out.append([start, end])
-                elif s == 2:
-                    out[-1][1] = end
+        for (start, end), s in zip(tokens, self.decode(text, tokens) if tokens else ()):
+            if s == 1:
+                out.append([start, end])
+            elif s == 2:
+                out[-1][1] = end
         trimmed = []
         for start, end in out:
             while start < end and text[start] in _EDGE:
@@ -207,7 +302,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     sequences = []
     for row in rows:
-        base, found = base_spans(row["text"]), runs(row["text"])
+        base = base_spans(row["text"])
+        found = windows(row["text"], base)
         for run, feats in zip(found, features(row["text"], found)):
             gold, before = [], None
             for start, end in run:

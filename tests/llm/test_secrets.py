@@ -74,3 +74,28 @@ def test_redact_and_empty(spark):
     assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == ["a [SECRET] b", None, "clean"]
     assert secrets.redact(docs).columns == docs.columns
     assert secrets.digest(secrets.scan(fixtures.empty(spark))).count() == 0
+
+
+def test_values_without_a_digit_are_learned_and_decoded():
+    """Plain values after quoted keys are trained as parts of their match, and plain tokens of any text are decoded."""
+    import random
+
+    rng = random.Random(5)
+    value = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(14))
+    sequences = []
+    for k in range(300):
+        text = f'the words of {k} "password": "{value()}", and more words' if k % 2 else f"in the year {1900 + k} there were: many words of other kinds"
+        base = secrets.base_spans(text)
+        found = secrets.windows(text, base)
+        assert all(any(a < e and s < b for a, b in run) for _, s, e in base for run in found)
+        for run, feats in zip(found, secrets.features(text, found)):
+            hit = [any(a < e and s < b for _, s, e in base) for a, b in run]
+            sequences.append((feats, [0 if not h else 2 if i and hit[i - 1] else 1 for i, h in enumerate(hit)]))
+    model = secrets.Model().fit(sequences)
+    secret = value()
+    text = f'the words of 3 "passphrase": "{secret}", and more words'
+    at = text.index(secret)
+    assert any(a <= at and b >= at + len(secret) for a, b in model.spans(text))
+    for text in ("in the year 1921 there were: many words of other kinds", "plain words alone", text, " ".join(f"w{k % 7} of {value()}" for k in range(60))):
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        assert model.decode(text, tokens) == model.viterbi(secrets.features(text, [tokens])[0])
