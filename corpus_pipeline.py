@@ -18,14 +18,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near duplicates; documents without an id stay."""
+    """The rows of the smallest id of each group of near duplicates, each text of an id once; documents without an id stay."""
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item; documents without an id are judged together."""
-    verdict = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, written(verdict.where("contaminated").select("doc_id"), "pipeline-contaminated"))
+    """Rows without a window of a benchmark item, each judged by its own text, whatever its id."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    verdict = decontam.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = written(verdict.where("contaminated").select("doc_id"), "pipeline-contaminated")
+    return without_ids(rows.withColumnsRenamed({"doc_id": "_id", "_row": "doc_id"}), gone).drop("doc_id").withColumnRenamed("_id", "doc_id").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,13 +349,16 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` of the smallest doc_id of each component, each id once; rows without an id stay."""
+    """The rows of `docs` of the smallest doc_id of each component, each text of an id once; rows without an id stay."""
     gone = written(join(docs).where("doc_id is not null and doc_id != component_id").select("doc_id"), "jaccard-gone")
     kept = shared.without_ids(docs, gone)
     again = written(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "jaccard-again")
     if again.isEmpty():
         return kept
-    return shared.without_ids(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # of rows that share id and text, the smallest by the other columns, so that a repeated task keeps the same
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ones = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("o"))
+    return shared.without_ids(kept, again).unionByName(ones.select("doc_id", "text", *(F.col("o")[c].alias(c) for c in others)).select(docs.columns))
 
 
 ORACLE = """

@@ -39,3 +39,16 @@ def test_stages(spark, tmp_path):
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "bpe"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_are_judged_by_themselves(spark, tmp_path):
+    """A contaminated row without an id takes no clean one with it, and different texts of one id stay."""
+    clean, other, leak = (" ".join(f"{x}{k}" for k in range(30)) for x in ("alpha", "beta", "gamma"))
+    spark.createDataFrame([(0, " ".join(leak.split()[5:17]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = fixtures.table(spark, [clean, leak, other, leak, other], [None, None, None, 1, 1])
+    out = corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}")
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, clean), (0, other), (1, other)]
+    docs = fixtures.table(spark, [clean, other, clean], [5, 5, 5])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), f"file://{tmp_path}").collect()
+    assert sorted((r["doc_id"], r["text"], r["pos"]) for r in got) == [(5, clean, 0), (5, other, 1)]
