@@ -107,18 +107,27 @@ def modularity(links: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     return degree.crossJoin(F.broadcast(m)).agg(F.round(F.max(F.col("inside") / F.col("m")) - gamma * F.sum(F.pow(F.col("deg") / (2 * F.col("m")), 2)), 6).alias("modularity"))
 
 
-def label_propagation(links: DataFrame, rounds: int, checkpoint) -> DataFrame:
-    """node, label after weighted rounds: each node takes the label with the largest weight among its neighbours and itself, ties to the smaller.
+#: Rounds after which label propagation gives up with an error; it never returns labels that could still change.
+MOST_ROUNDS = 500
 
-    `checkpoint(df)` cuts the lineage after each round."""
+
+def label_propagation(links: DataFrame, most: int, checkpoint) -> DataFrame:
+    """node, label when no node would change: each node takes the label with the largest weight among its neighbours and itself, ties to the smaller.
+
+    `checkpoint(df)` cuts the lineage after each round. Raises when labels still change after `most` rounds."""
     both = checkpoint(links.select("a", "b", "w").union(links.select("b", "a", "w")))
     labels = checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    for k in range(rounds):
+    for k in range(most):
         votes = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", "w")
         votes = votes.union(labels.select("node", "label", F.lit(0.01)))
         sums = votes.groupBy("node", "label").agg(F.round(F.sum("w"), 9).alias("w"))
         best = sums.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("next"))
-        # nodes move in two halves, so that pairs do not swap labels for ever
+        # nodes move in two halves, another split each round, so that pairs do not swap labels for ever
         moves = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
-        labels = checkpoint(labels.join(best, "node").select("node", F.when(moves, F.col("next")).otherwise(F.col("label")).alias("label")))
-    return labels
+        # `open` tells of every node, of either half, whether it would change
+        now = checkpoint(labels.join(best, "node").select("node", F.when(moves, F.col("next")).otherwise(F.col("label")).alias("label"), (F.col("next") != F.col("label")).alias("open")))
+        settled = now.where("open").isEmpty()
+        labels = now.select("node", "label")
+        if settled:
+            return labels
+    raise RuntimeError(f"label propagation: labels still change after {most} rounds")

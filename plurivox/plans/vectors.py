@@ -157,7 +157,7 @@ def leaf_affinity(spark, d):
 @C.query()
 def communities(spark, d):
     """Communities of the neighbour graph by weighted label propagation (iterative, so without SQL)."""
-    return vector.label_propagation(checkpointed(vector.edges(_knn(spark, d), EDGE)), 6, checkpointed)
+    return vector.label_propagation(checkpointed(vector.edges(_knn(spark, d), EDGE)), vector.MOST_ROUNDS, checkpointed)
 
 
 @C.query()
@@ -165,7 +165,7 @@ def live_recluster(spark, d):
     """The graph clustered anew at other parameters, as theme cards of the communities."""
     vs = read(spark, d, "embeddings")
     links = checkpointed(vector.edges(vector.pairs(vs, "vec_id", "embedding", 6), 0.3))
-    labels = vector.label_propagation(links, 4, checkpointed)
+    labels = vector.label_propagation(links, vector.MOST_ROUNDS, checkpointed)
     return node_stats.theme_cards(vs.select("vec_id", "embedding").join(labels, F.col("vec_id") == F.col("node")).select("label", "embedding"), "label", "embedding")
 
 
@@ -182,7 +182,7 @@ def threshold_sweep(spark, d):
     out = None
     for t in (0.25, 0.3, 0.35):
         links = checkpointed(vector.edges(near, t))
-        labels = vector.label_propagation(links, 4, checkpointed)
+        labels = vector.label_propagation(links, vector.MOST_ROUNDS, checkpointed)
         row = vector.modularity(links, labels).crossJoin(F.broadcast(labels.agg(F.count_distinct("label").alias("communities")))).withColumn("threshold", F.lit(t))
         out = row if out is None else out.unionByName(row)
     return out

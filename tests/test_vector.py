@@ -44,6 +44,23 @@ def test_communities_of_two_cliques(spark):
     assert len({labels[n] for n in range(4)}) == 1 and len({labels[n] for n in range(10, 14)}) == 1 and labels[0] != labels[10]
 
 
+def test_labels_travel_until_none_changes(spark):
+    import pytest
+
+    # a chain whose weights fall, so that the first label passes down all of it
+    links = spark.createDataFrame([(k, k + 1, 2.0 - 0.05 * k) for k in range(16)], "a long, b long, w double")
+    labels = {r["node"]: r["label"] for r in vector.label_propagation(links, vector.MOST_ROUNDS, checkpointed).collect()}
+    weight = {(a, b): 2.0 - 0.05 * min(a, b) for k in range(16) for a, b in ((k, k + 1), (k + 1, k))}
+    for n in range(17):
+        votes = {labels[n]: 0.01}
+        for m in (n - 1, n + 1):
+            if (n, m) in weight:
+                votes[labels[m]] = votes.get(labels[m], 0) + weight[n, m]
+        assert min(votes, key=lambda x: (-round(votes[x], 9), x)) == labels[n]
+    with pytest.raises(RuntimeError):
+        vector.label_propagation(links, 2, checkpointed)
+
+
 def test_locate_counts_code_points(spark):
     from pyspark.sql import functions as F
 
