@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Tables
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of `links` (a long, b long)."""
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    rounds = Tables(links.sparkSession, "components")
+    edges = rounds.write(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -18,7 +19,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = written(small.where("v != m").select(F.col("v").alias("x"), "m").union(least.select(F.col("u").alias("x"), "m")).where("x != m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct(), "components")
+        old, rounds = rounds, Tables(links.sparkSession, "components")
+        edges = rounds.write(small.where("v != m").select(F.col("v").alias("x"), "m").union(least.select(F.col("u").alias("x"), "m")).where("x != m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct(), "edges")
+        old.drop()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

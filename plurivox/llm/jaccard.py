@@ -1,6 +1,6 @@
 """N-gram Jaccard join by parity sketches: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Documents with one set are one node (a 64-bit signature of the set), so exact copies never form pairs.
+Documents with one set are one node (named by a signature of the set), so exact copies never form pairs.
 
 Sketches. The places of a set's band are cut into k blocks. Each shingle toggles (XOR) one bit of a wide sketch: its
 block, and a place in the block. The sketches of A and B differ in at most as many bits as their symmetric
@@ -16,10 +16,15 @@ passage of many documents makes no keys; sets without enough of these make keys
 left after all seeds share one more key a band. So no similar pair is lost, whatever counts as rare.
 
 Hot groups. A key's nodes are never paired with each other. First every node is checked against the most central node of
-its keys, the one that shares keys with most nodes. Then only keys with several components are looked at, and there one pivot stands for the nodes
-linked to it: by the triangle inequality of the symmetric difference two pivots further apart than the bound plus
-both radii have no similar nodes. Only what this leaves open is checked node by node. Pairs whose parity sketches are too
-far apart go first, before any text moves. A step sends its nodes of one key once, settled if there are several.
+its keys, the one that shares keys with most nodes. Then only keys with several components are looked at. A shingle that
+only one of all their nodes has is a difference to every other: nodes with too many of these have no similar set in a key and leave it.
+There one pivot stands for the nodes linked to it: by the triangle inequality of the symmetric difference two pivots
+further apart than the bound plus both radii have no similar nodes. Only what this leaves open is checked node by node.
+The joins themselves compare short parity sketches, so that pairs too far apart never become rows, and longer sketches
+follow before any text moves. A step sends its nodes of one key once, settled if there are several.
+
+Nodes are named by 64 bits of a signature; where an independent signature tells two sets of one name apart, the nodes
+of that name are named by the second one.
 
 Verification compares whole sets, streamed by leader in salted groups of bounded memory; a folded parity sketch rules pairs out first.
 
@@ -34,20 +39,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange, shared
 from .components import components
-from .shared import mix, written
+from .shared import Tables, mix, written
 
 SHINGLE = 5
 #: Similarity 0.8: the symmetric difference is at most a ninth of the sum of the sizes, NUM / DEN.
 NUM, DEN = 80, 100
 SEEDS = 8
 FOLD_BITS = 4096
+#: Longs of the short parity sketch that joins compare.
+SHORT = 8
+_SHORT = [f"f{j}" for j in range(SHORT)]
 #: Members of one leader that one group verifies.
-SALT_ROWS = 2000
+SALT_ROWS = 256
 BROADCAST_IDS = 2_000_000
 #: Documents, least number of them and most shingles of the choice of common shingles.
 SAMPLE, COMMON, COMMON_MOST = 4096, 8, 500_000
@@ -92,9 +100,19 @@ def sets(words: shared.Words) -> Iterator[tuple[int, np.ndarray]]:
             yield k, np.array([short], dtype=np.uint64)
 
 
-def signature(s: np.ndarray) -> np.int64:
-    h = mix(np.array([np.bitwise_xor.reduce(mix(s + _U(1)))], dtype=np.uint64) + np.array([s.sum(dtype=np.uint64)]) * _U(3) + _U(len(s)))
-    return h.view(np.int64)[0]
+def signatures(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit signatures of a set."""
+    out = []
+    for salt in (1, 0x7F4A7C15):
+        h = mix(np.array([np.bitwise_xor.reduce(mix(s + _U(salt)))], dtype=np.uint64) + np.array([mix(s ^ _U(salt)).sum(dtype=np.uint64)]) * _U(3) + _U(len(s)))
+        out.append(int(h.view(np.int64)[0]))
+    return out[0], out[1]
+
+
+def node_of(s: np.ndarray, split: frozenset[int] = frozenset()) -> int:
+    """The node of a set: its first signature, or the second where different sets share the first."""
+    first, second = signatures(s)
+    return second if first in split else first
 
 
 def _blocks(s: np.ndarray, band: int, k: int, seed: int, space: int) -> np.ndarray:
@@ -149,8 +167,11 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 def sketch(s: np.ndarray) -> bytes:
     """The parity sketch of a set, with as many bits as the next power of two from its size on, 64 at least."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
-    return np.packbits(np.bincount((mix(s ^ _U(0x5DEECE66D)) % _U(bits)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+    return parity(s, 1 << max(6, (len(s) - 1).bit_length())).tobytes()
+
+
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits(np.bincount((mix(s ^ _U(0x5DEECE66D)) % _U(bits)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little")
 
 
 def hamming(a: bytes, b: bytes) -> int:
@@ -167,19 +188,21 @@ def fold(s: np.ndarray) -> np.ndarray:
 
 
 def documents_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), node (signature of the set; null for an empty one), sketch."""
+    """doc_id, n (distinct shingles), node and other (signatures of the set; null for an empty one), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in shared.steps(batches):
-            n, node, bits = np.zeros(step.num_rows, np.int64), [None] * step.num_rows, [None] * step.num_rows
+            n, node, other, bits = np.zeros(step.num_rows, np.int64), [None] * step.num_rows, [None] * step.num_rows, [None] * step.num_rows
+            short = np.zeros((SHORT, step.num_rows), np.int64)
             for k, s in sets(shared.Words(step.column(1))):
-                n[k], node[k], bits[k] = len(s), int(signature(s)), sketch(s)
-            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "sketch"])
+                n[k], bits[k], short[:, k] = len(s), sketch(s), parity(s, SHORT * 64).view(np.int64)
+                node[k], other[k] = signatures(s)
+            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n), pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(bits, pa.binary()), *map(pa.array, short)], names=["doc_id", "n", "node", "other", "sketch", *_SHORT])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, other long, sketch binary, " + ", ".join(f"{c} long" for c in _SHORT))
 
 
-def _entries(docs: DataFrame, table: list, buckets: int, common: np.ndarray) -> DataFrame:
+def _entries(docs: DataFrame, table: list, buckets: int, common: np.ndarray, split: frozenset[int]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +211,7 @@ def _entries(docs: DataFrame, table: list, buckets: int, common: np.ndarray) ->
             parts, nodes = [], []
             for _, s in sets(shared.Words(step.column(1))):
                 parts.append(keys(s, table, held.value))
-                nodes.append(np.full(len(parts[-1]), signature(s)))
+                nodes.append(np.full(len(parts[-1]), node_of(s, split), np.int64))
             if not parts or not sum(map(len, parts)):
                 continue
             key, node = np.concatenate(parts) & _LOW, np.concatenate(nodes)
@@ -223,17 +246,17 @@ def _answer(part: pa.Table) -> pa.Table:
     return pa.table({"key": key.view(np.int64), "node": node})
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, split: frozenset[int], tables: Tables) -> DataFrame:
     """lead, member, delta (symmetric difference, or a lower bound above limit + slack), linked: `pairs` (lead, member, slack) by their whole sets."""
     spark = docs.sparkSession
-    pairs = written(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(1 << 20))), "jaccard-pairs")
+    pairs = tables.write(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(1 << 20))), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "lead long, member long, delta long, linked boolean, slack long")
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
     salted = pairs.join(sizes, "lead").withColumn("salt", F.pmod("salt", F.col("parts")))
     members = salted.select("lead", "salt", F.col("member").alias("node"), "slack", F.lit(1).alias("rank"))
     leads = sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("lead").alias("node"), F.lit(0).cast("long").alias("slack"), F.lit(0).alias("rank"))
-    wanted = written(leads.withColumn("salt", F.col("salt").cast("long")).unionByName(members.withColumn("salt", F.col("salt").cast("long"))).join(names, "node"), "jaccard-wanted")
+    wanted = tables.write(leads.withColumn("salt", F.col("salt").cast("long")).unionByName(members.withColumn("salt", F.col("salt").cast("long"))).join(names, "node"), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS // 4 else wanted
     rows = docs.select(F.col("doc_id").alias("rep"), "text").join(side, "rep").select("lead", "salt", "rank", "node", "slack", "text")
     grouped = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "rank", "node")
@@ -247,7 +270,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
             seen = None
             for k in range(step.num_rows):
                 s = found.get(k)
-                if s is None or int(signature(s)) != node[k]:  # another text of a repeated doc_id
+                if s is None or node_of(s, split) != node[k]:  # another text of a repeated doc_id
                     continue
                 if rank[k] == 0:
                     group, lead_set, lead_fold = (lead[k], salt[k]), s, fold(s)
@@ -267,7 +290,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["lead", "member", "delta", "linked", "slack"])
 
-    return written(grouped.mapInArrow(run, "lead long, member long, delta long, linked boolean, slack long"), "jaccard-verified")
+    return tables.write(grouped.mapInArrow(run, "lead long, member long, delta long, linked boolean, slack long"), "verified")
+
+
+def _alone(docs: DataFrame, names: DataFrame, split: frozenset[int]) -> DataFrame:
+    """node, alone: how many shingles of a node of `names` (node, rep) are in no other of these nodes."""
+    side = F.broadcast(names) if names.count() <= BROADCAST_IDS // 4 else names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in shared.steps(batches, text="text"):
+            want, parts, nodes = step.column(0).to_pylist(), [], []
+            for k, s in sets(shared.Words(step.column(1))):
+                if node_of(s, split) == want[k]:
+                    parts.append(s)
+                    nodes.append(np.full(len(s), want[k], np.int64))
+            if parts:
+                h, node = np.concatenate(parts), np.concatenate(nodes)
+                order = np.argsort(h)
+                h, node = h[order], node[order]
+                start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(np.minimum.reduceat(node, start)), pa.array(np.maximum.reduceat(node, start))], names=["h", "a", "b"])
+
+    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(side, "rep").select("node", "text").mapInArrow(run, "h long, a long, b long")
+    ones = rows.groupBy("h").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a = b")
+    return ones.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("alone"))
 
 
 def _near(pairs: DataFrame, names: DataFrame) -> DataFrame:
@@ -286,55 +332,74 @@ def _near(pairs: DataFrame, names: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (verified links of the document's set to other sets)."""
-    nodes = written(documents_sets(docs), "jaccard-sets")
+    tables = Tables(docs.sparkSession, "jaccard")
+    nodes = tables.write(documents_sets(docs), "sets")
+    twice = nodes.where("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a != b")
+    split = frozenset(r[0] for r in twice.select("node").collect())  # chance collisions of 64 bits alone
+    if split:
+        nodes = nodes.withColumn("node", F.when(F.col("node").isin(sorted(split)), F.col("other")).otherwise(F.col("node")))
     live = nodes.where("node is not null and doc_id is not null")
-    names = written(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-names")
+    names = tables.write(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), *(F.max(c).alias(c) for c in _SHORT)), "names")
     largest = names.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     table = bands(largest)
-    entries = _entries(docs, table, exchange.buckets_for(docs), common_shingles(docs))
-    shared_keys = written(entries.groupBy("bucket").applyInArrow(_answer, "key long, node long").distinct(), "jaccard-keys")
-    who, sizes = names.select("node", "rep"), names.select("node", "n")
+    entries = _entries(docs, table, exchange.buckets_for(docs), common_shingles(docs), split)
+    shared_keys = tables.write(entries.groupBy("bucket").applyInArrow(_answer, "key long, node long").distinct(), "keys")
+    who, sizes, short = names.select("node", "rep"), names.select("node", "n"), names.select("node", *_SHORT)
 
     # every node against the most central node of most of its keys: the one that shares keys with most nodes
     sizes_of = shared_keys.groupBy("key").agg(F.count("*").alias("c"))
-    central = written(shared_keys.join(sizes_of, "key").groupBy("node").agg(F.sum("c").alias("weight")), "jaccard-central")
+    central = tables.write(shared_keys.join(sizes_of, "key").groupBy("node").agg(F.sum("c").alias("weight")), "central")
     lead = shared_keys.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
     stars = shared_keys.join(lead, "key").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
     best = stars.join(central.withColumnRenamed("node", "lead"), "lead").groupBy("node").agg(F.max_by("lead", F.struct("c", "weight", "lead")).alias("lead"))
-    first = _verified(best.select("lead", F.col("node").alias("member"), F.lit(0).cast("long").alias("slack")), docs, who)
+    first = _verified(best.select("lead", F.col("node").alias("member"), F.lit(0).cast("long").alias("slack")), docs, who, split, tables)
     links = first.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b"))
     comp = components(links)
     pivots = first.where("linked").select(F.col("member").alias("node"), F.col("lead").alias("pivot"), F.col("delta").alias("r"))
-    info = written(
+    info = tables.write(
         shared_keys.select("node").distinct().join(comp, "node", "left").join(pivots, "node", "left").join(sizes, "node")
         .select("node", F.coalesce("component", "node").alias("component"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("r", F.lit(0)).alias("r"), "n"),
-        "jaccard-info",
+        "info",
     )
 
-    # keys that still hold several components, by pivots
-    held = shared_keys.join(info, "node")
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    held = written(held.join(mixed, "key"), "jaccard-mixed")
-    by_pivot = held.groupBy("key", "pivot", "component").agg(F.max("r").alias("r"), F.max("n").alias("n"))
-    left, right = (by_pivot.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "component", "r", "n"))) for s in "12")
+    # keys that still hold several components, without the nodes whose own shingles alone rule out every other node of the key
+    held = tables.write(_mixed(shared_keys.join(info, "node")), "mixed")
+    alone = _alone(docs, held.select("node").distinct().join(who, "node"), split)
+    # overlap <= n - alone, so the difference to a set of m shingles is at least m - n + 2 * alone
+    held = held.join(alone, "node", "left").withColumn("own", 2 * F.coalesce("alone", F.lit(0)) - F.col("n")).drop("alone")
+    least = held.groupBy("key").agg(F.min("n").alias("least"))
+    possible = F.expr(f"least + own <= (n + least) * {DEN - NUM} div {DEN + NUM}")
+    inside = F.expr(f"{DEN} * (n - own) >= {2 * NUM} * n")
+    held = tables.write(_mixed(held.join(least, "key").where(possible & inside).drop("least")), "possible")
+
+    # by pivots: the join itself compares short parity sketches
+    by_pivot = held.groupBy("key", "pivot", "component").agg(F.max("r").alias("r"), F.max("n").alias("n"), F.min("n").alias("m"), F.min("own").alias("own"), F.count("*").alias("size"))
+    by_pivot = tables.write(by_pivot.join(short.withColumnRenamed("node", "pivot"), "pivot"), "pivots")
+    left, right = (by_pivot.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "component", "r", "n", "m", "own", "size", *_SHORT))) for s in "12")
     bound = F.expr(f"(n1 + n2) * {DEN - NUM} div {DEN + NUM}")
-    apart = F.abs(F.col("n1") - F.col("n2")) <= bound + 2 * (F.col("r1") + F.col("r2"))
-    open_pairs = left.join(right, "key").where((F.col("pivot1") < F.col("pivot2")) & (F.col("component1") != F.col("component2")) & apart)
-    open_pairs = open_pairs.groupBy("pivot1", "pivot2").agg(F.max(F.col("r1") + F.col("r2")).alias("slack"), F.max(bound).alias("bound"))
-    open_pairs = written(_near(open_pairs, names), "jaccard-open")
+    apart = F.greatest(F.col("m1") - F.col("n2"), F.col("m2") - F.col("n1"), F.col("m1") + F.col("own2"), F.col("m2") + F.col("own1")) <= bound
+    open_keys = left.join(right, "key").where((F.col("pivot1") < F.col("pivot2")) & (F.col("component1") != F.col("component2")) & apart & (_distance() <= bound + F.col("r1") + F.col("r2")))
+    open_keys = tables.write(open_keys.select("key", "pivot1", "pivot2", "size1", "size2", (F.col("r1") + F.col("r2")).alias("slack"), bound.alias("bound")), "open-keys")
+    open_pairs = open_keys.groupBy("pivot1", "pivot2").agg(F.max("slack").alias("slack"), F.max("bound").alias("bound"))
+    open_pairs = tables.write(_near(open_pairs, names), "open")
     tried = first.select(F.least("lead", "member").alias("pivot1"), F.greatest("lead", "member").alias("pivot2"))
-    second = _verified(open_pairs.join(tried, ["pivot1", "pivot2"], "left_anti").select(F.col("pivot1").alias("lead"), F.col("pivot2").alias("member"), (F.col("slack") + F.col("bound")).alias("slack")), docs, who)
+    second = _verified(open_pairs.join(tried, ["pivot1", "pivot2"], "left_anti").select(F.col("pivot1").alias("lead"), F.col("pivot2").alias("member"), (F.col("slack") + F.col("bound")).alias("slack")), docs, who, split, tables)
     distances = second.unionByName(first).select(F.least("lead", "member").alias("pivot1"), F.greatest("lead", "member").alias("pivot2"), "delta", "linked")
     pairs_of = lambda x: x.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b"))
-    now = written(components(links.union(pairs_of(second))), "jaccard-components")
+    now = tables.write(components(links.union(pairs_of(second))), "components")
     unsure = open_pairs.where("slack > 0").join(distances, ["pivot1", "pivot2"]).where("not linked and delta <= slack + bound").select("pivot1", "pivot2", "delta")
     for s in "12":  # pivots that other links have joined meanwhile are settled
         unsure = unsure.join(now.select(F.col("node").alias(f"pivot{s}"), F.col("component").alias(f"now{s}")), f"pivot{s}", "left").withColumn(f"now{s}", F.coalesce(f"now{s}", f"pivot{s}"))
-    unsure = written(unsure.where("now1 != now2").select("pivot1", "pivot2", "delta"), "jaccard-unsure")
-    ones, twos = (held.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("node", "pivot", "r", "n"))) for s in "12")
-    likely = F.expr(f"abs(n1 - n2) <= (n1 + n2) * {DEN - NUM} div {DEN + NUM} and delta <= r1 + r2 + (n1 + n2) * {DEN - NUM} div {DEN + NUM} and (node1 != pivot1 or node2 != pivot2)")
-    third = unsure.join(ones, "pivot1").join(twos, ["key", "pivot2"]).where(likely).select(F.least("node1", "node2").alias("pivot1"), F.greatest("node1", "node2").alias("pivot2"), F.lit(0).cast("long").alias("slack"), F.expr(f"(n1 + n2) * {DEN - NUM} div {DEN + NUM}").alias("bound"))
-    third = _verified(_near(third.distinct(), names).select(F.col("pivot1").alias("lead"), F.col("pivot2").alias("member"), "slack"), docs, who)
+    unsure = open_keys.join(unsure.where("now1 != now2").select("pivot1", "pivot2", "delta"), ["pivot1", "pivot2"])
+    # node by node, the pivot with fewer nodes first
+    swap = F.col("size1") > F.col("size2")
+    unsure = tables.write(unsure.select("key", "delta", F.when(swap, F.col("pivot2")).otherwise(F.col("pivot1")).alias("pivot1"), F.when(swap, F.col("pivot1")).otherwise(F.col("pivot2")).alias("pivot2")), "unsure")
+    members = held.join(short, "node")
+    ones, twos = (members.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("node", "pivot", "r", "n", "own", *_SHORT))) for s in "12")
+    likely = F.expr("greatest(abs(n1 - n2), n1 + own2, n2 + own1, delta - r1 - r2)") <= bound
+    third = unsure.join(ones, ["key", "pivot1"]).join(twos, ["key", "pivot2"]).where(likely & (_distance() <= bound) & F.expr("node1 != pivot1 or node2 != pivot2"))
+    third = third.select(F.least("node1", "node2").alias("pivot1"), F.greatest("node1", "node2").alias("pivot2"), F.lit(0).cast("long").alias("slack"), bound.alias("bound"))
+    third = _verified(_near(third.distinct(), names).select(F.col("pivot1").alias("lead"), F.col("pivot2").alias("member"), "slack"), docs, who, split, tables)
 
     links = links.union(pairs_of(second)).union(pairs_of(third))
     # rows that share a doc_id tie their sets together
@@ -345,7 +410,21 @@ def join(docs: DataFrame) -> DataFrame:
     labelled = names.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = labelled.join(smallest, "component").join(counts, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return nodes.join(final, "node", "left").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min("component_id"), F.col("doc_id")).alias("component_id"), F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"))
+    out = nodes.join(final, "node", "left").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min("component_id"), F.col("doc_id")).alias("component_id"), F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"))
+    out = written(out, "jaccard")
+    tables.drop()
+    return out
+
+
+def _distance() -> Column:
+    """Hamming distance of the short parity sketches of sides 1 and 2: a lower bound of the symmetric difference."""
+    return F.expr(" + ".join(f"bit_count({c}1 ^ {c}2)" for c in _SHORT))
+
+
+def _mixed(held: DataFrame) -> DataFrame:
+    """The rows (key, node, component, ...) of keys that hold several components."""
+    several = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    return held.join(several, "key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset and Spark is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="plurivox-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -32,20 +34,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession, name).write(df, "table")
+
+
+class Tables:
+    """Tables of one job in a folder of the shared folder, which `drop` deletes with all of them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.count = spark, 0
+        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str, **options: object) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{name}"
+        df.write.options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name` with as many lines before it as it takes to be none of `columns`, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is none of `ids`; a null id is an id here."""
-    ids = ids.select(F.col("doc_id").alias("_gone"))
+    gone = unused(docs.columns, "_gone")
+    ids = ids.select(F.col("doc_id").alias(gone))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
 def lower_ascii(text: Column) -> Column:
