@@ -1,17 +1,23 @@
 """Quality filter: hierarchical empirical Bayes over documents, paths and hosts.
 
-A logistic classifier over binned text statistics gives each document its evidence. Grouped aggregation sums the
-classifier's probabilities by host and path; method-of-moments strengths shrink hosts toward the global rate and paths
-toward their host, so sparse sites stay near their parents. A document's posterior log-odds are its own evidence plus
-its path's departure from the global rate; documents under `KEEP` are rejected.
+A logistic classifier over binned text statistics gives each document its evidence: prior log-odds z of good quality.
+Sites add what the labels of their documents say beyond that prior. For a site, `score` is the sum of label - p and `info` the sum of
+p (1 - p) over its labelled documents, p being the prior probability; a site whose documents shift by d in log-odds has a score near d * info.
+Grouped aggregation takes these sums by path and by host. Method-of-moments variances of the shifts of hosts, and of
+paths around their hosts, then give posterior means: a host's shift is shrunk toward the global one, a path's toward
+its host's, so sparse sites stay near their parents. A document's posterior log-odds are its own evidence plus the shift of its path,
+or of its host, or the global one, the first that has labels. A labelled document is left out of its own site's sums.
+Documents under `KEEP` are rejected.
 
 Here the host of a document is its source up to the first slash, and its path the rest of the source and its language.
 
-Training reads at most `SAMPLE` labelled rows (those of the smallest hashed ids); sums cover all documents.
+The classifier is trained on at most `SAMPLE` labelled rows (those of the smallest hashed ids); site sums cover all
+labelled documents.
 
 Defined cases: null, empty and wordless texts get the evidence of all-zero statistics; null sources, paths and
-languages form sites of their own; null ids and repeated rows are scored row by row; without labels of both classes
-every document gets the one class's smoothed rate; other columns are kept by `judge` and `keep`.
+languages form sites of their own; null ids have no label; repeated rows are scored row by row, and each of them counts for its
+site; of several labels of one id the largest counts; without labels of both classes every document gets the one class's smoothed
+rate as its prior; other columns are kept by `judge` and `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +36,15 @@ from .toxicity import _FUNCTION, _has, _PUNCT
 SAMPLE = 12_000
 BINS = 12
 KEEP = 0.5
-#: Sites whose posteriors are broadcast at most; more are joined by a shuffle.
+#: Sites and labels that are broadcast at most; more are joined by a shuffle.
 BROADCAST_SITES = 500_000
+BROADCAST_LABELS = 2_000_000
+#: Text bytes that one numpy step holds.
+STEP = 1 << 20
+#: Widest prior of a shift in log-odds.
+WIDEST = 4.0
 
-_CLASS = np.zeros(256, dtype=np.int64)  # 0 letters and others, 1 digits, 2 capitals, 3 symbols, 4 ends of sentences
+_CLASS = np.zeros(256, dtype=np.uint8)  # 0 letters and others, 1 digits, 2 capitals, 3 symbols, 4 ends of sentences
 _CLASS[48:58], _CLASS[65:91] = 1, 2
 _CLASS[[*range(35, 39), 42, 43, 47, *range(60, 63), 64, *range(91, 97), *range(123, 127)]] = 3
 _CLASS[[33, 44, 46, 63]] = 4
@@ -45,12 +55,11 @@ def statistics(col: pa.Array) -> np.ndarray:
     raw, offsets = shared.utf8(col)
     words, plain = shared.Words(col), shared.Words(col, chars=_PUNCT)
     n, size = len(offsets) - 1, np.maximum(np.diff(offsets), 1)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    kinds = np.bincount(row * 5 + _CLASS[raw], minlength=5 * n).reshape(n, 5) / size[:, None]
+    seen = [np.r_[0, np.cumsum(_CLASS[raw] == k, dtype=np.int32)] for k in range(1, 5)]
     count = np.maximum(np.diff(words.first), 1)
     per = lambda flags, of: np.bincount(of[flags], minlength=n) / count
     h, doc = words.hash, words.doc
-    out = [kinds[:, k] for k in range(1, 5)]
+    out = [(c[offsets[1:]] - c[offsets[:-1]]) / size for c in seen]
     out.append(np.log1p(np.diff(words.first)))
     out.append(np.bincount(doc, weights=words.ends - words.starts, minlength=n) / count)
     same = np.r_[False, (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])] if len(h) else np.zeros(0, bool)
@@ -101,81 +110,140 @@ class Model:
         return self
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: one label an id."""
+    return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality").toArrow()
-    y = rows.column("quality").to_numpy().astype(np.float64)
+    """The classifier; executors turn texts into statistics, so a bounded table of numbers reaches the driver."""
+    chosen = known_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in shared.steps(batches, size=STEP):
+            x = statistics(step.column(2))
+            yield pa.RecordBatch.from_arrays([step.column(0), step.column(1), pa.array([row.tobytes() for row in x.astype("<f8")], pa.binary())], names=["doc_id", "y", "x"])
+
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("y", T.DoubleType()), T.StructField("x", T.BinaryType())])
+    # rows of one id count once: the smallest of their statistics, whatever the order of tasks
+    found = rows.mapInArrow(run, schema).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    y = found.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.9
         return Model(float(np.log(rate / (1 - rate))))
-    return Model().fit(np.concatenate([statistics(step.column("text")) for step in shared.steps(iter(rows.to_batches()))]), y)
+    return Model().fit(np.frombuffer(b"".join(found.column("x").to_pylist()), "<f8").reshape(len(y), -1), y)
 
 
-def evidence(docs: DataFrame, model: Model):
-    """The classifier's log-odds of each text, as a column function."""
+def with_evidence(docs: DataFrame, model: Model, name: str, text: str = "text", drop_text: bool = False) -> DataFrame:
+    """`docs` (without its text where `drop_text`) and the classifier's log-odds of each text as `name`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    text = next(k for k, f in enumerate(docs.schema) if f.name == text)
+    fields = [f for k, f in enumerate(docs.schema) if k != text or not drop_text]
 
-    @F.pandas_udf(T.DoubleType())
-    def logit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-            yield pd.Series(np.concatenate([held.value.logits(statistics(step.column(0))) for step in shared.steps(iter([batch]))]) if len(texts) else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in shared.steps(batches, text=text, size=STEP):
+            columns = [c for k, c in enumerate(step.columns) if k != text or not drop_text]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(held.value.logits(statistics(step.column(text))))], names=[*(f.name for f in fields), name])
 
-    return logit
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def _site(docs: DataFrame) -> tuple[Column, Column]:
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    source = F.coalesce(docs["source"].cast("string"), F.lit(""))
     rest = F.when(F.instr(source, "/") > 0, F.regexp_replace(source, "^[^/]*/", "")).otherwise("")
-    return F.substring_index(source, "/", 1), F.concat_ws("/", rest, F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    return F.substring_index(source, "/", 1), F.concat_ws("/", rest, F.coalesce(docs["lang"].cast("string"), F.lit("")))
 
 
-def _strength(groups: DataFrame, n: str, good: str, rate: str) -> Column:
-    """Prior rows a group is worth, by moments: within-group variance over between-group variance."""
-    noise = F.col(rate) * (1 - F.col(rate))
-    between = F.sum(F.col(n) * (F.col(good) / F.col(n) - F.col(rate)) * (F.col(good) / F.col(n) - F.col(rate)))
-    spread = (between - F.sum(noise)) / F.greatest(F.sum(n) - F.sum(F.col(n) * F.col(n)) / F.sum(n), F.lit(1.0))
-    return F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.sum(F.col(n) * noise) / F.sum(n) / F.greatest(spread, F.lit(1e-9)) - 1))
+def _variance(score: str, info: str) -> Column:
+    """Variance of the groups' shifts: the sum of score ** 2 is expected to be that of info + info ** 2 * variance."""
+    s, i = F.col(score), F.col(info)
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(WIDEST), F.sum(s * s - i) / F.sum(i * i))), F.lit(0.0))
 
 
-def sites(docs: DataFrame, model: Model) -> DataFrame:
-    """host, path, n, host_rate, rate, shift: posterior rates of each path, and its log-odds beyond the global rate."""
-    host, path = _site(docs)
-    scored = docs.select(host.alias("host"), path.alias("path"), evidence(docs, model)("text").alias("z"))
+def outcomes(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `scored` (doc_id, host, path, z) that have a label, with score and info."""
+    known = known_labels(labels)
+    rows = scored.join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, "doc_id")
     p = 1 / (1 + F.exp(-F.col("z")))
-    by_path = shared.written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("good")), "quality-sites")
-    by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    whole = by_host.agg(((F.sum("hgood") + 0.5) / (F.sum("hn") + 1)).alias("mu"))
-    hosts = by_host.crossJoin(F.broadcast(whole))
-    host_m = hosts.agg(_strength(hosts, "hn", "hgood", "mu").alias("host_m"))
-    hosts = hosts.crossJoin(F.broadcast(host_m)).withColumn("host_rate", (F.col("hgood") + F.col("host_m") * F.col("mu")) / (F.col("hn") + F.col("host_m")))
-    paths = by_path.join(hosts.select("host", "mu", "host_rate"), "host")
-    path_m = paths.agg(_strength(paths, "n", "good", "host_rate").alias("path_m"))
-    rate = (F.col("good") + F.col("path_m") * F.col("host_rate")) / (F.col("n") + F.col("path_m"))
-    paths = paths.crossJoin(F.broadcast(path_m)).withColumn("rate", rate)
-    logit = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-6)) / F.greatest(1 - F.col(c), F.lit(1e-6)))
-    return paths.select("host", "path", "n", "host_rate", "rate", (logit("rate") - logit("mu")).alias("shift"))
+    return rows.select("doc_id", "host", "path", (F.col("quality") - p).alias("score"), (p * (1 - p)).alias("info"))
+
+
+def sites(labelled: DataFrame) -> DataFrame:
+    """host, path, score, info, prior (the host's posterior shift), variance (of paths around it), host_score, host_info,
+    top (the global shift), host_variance; a row with a null path for each host, and one with a null host for all documents."""
+    by_path = shared.written(labelled.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("info").alias("info")), "quality-sites")
+    by_host = by_path.groupBy("host").agg(F.sum("score").alias("host_score"), F.sum("info").alias("host_info"))
+    # the global shift has a unit prior; a host's outcomes are taken relative to it, a path's relative to its host
+    whole = by_host.agg((F.coalesce(F.sum("host_score") / (F.sum("host_info") + 1), F.lit(0.0))).alias("top"))
+    rest = by_host.crossJoin(F.broadcast(whole)).withColumn("rest", F.col("host_score") - F.col("top") * F.col("host_info"))
+    hosts = rest.crossJoin(F.broadcast(rest.agg(_variance("rest", "host_info").alias("host_variance"))))
+    hosts = hosts.withColumn("prior", F.col("top") + _posterior("rest", "host_info", "host_variance"))
+    paths = by_path.join(hosts, "host").withColumn("rest", F.col("score") - F.col("prior") * F.col("info"))
+    paths = paths.crossJoin(F.broadcast(paths.agg(_variance("rest", "info").alias("variance")))).drop("rest")
+    zero = F.lit(0.0)
+    above = hosts.drop("rest").withColumns({"path": F.lit(None).cast("string"), "score": zero, "info": zero, "variance": zero})
+    top = whole.withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string"), "prior": F.col("top"), **{c: zero for c in ("score", "info", "variance", "host_score", "host_info", "host_variance")}})
+    return paths.unionByName(above).unionByName(top)
+
+
+def _posterior(score: str, info: str, variance: str) -> Column:
+    """Posterior mean of a shift with a prior of mean 0: score * variance / (1 + info * variance)."""
+    return F.col(score) * F.col(variance) / (1 + F.col(info) * F.col(variance))
+
+
+def _shift(own_score: Column, own_info: Column) -> Column:
+    """A document's shift: its site's posterior without what the document itself has given to the sums."""
+    host = (F.col("host_score") - own_score) - F.col("top") * (F.col("host_info") - own_info)
+    prior = F.col("top") + host * F.col("host_variance") / (1 + (F.col("host_info") - own_info) * F.col("host_variance"))
+    path = (F.col("score") - own_score) - prior * (F.col("info") - own_info)
+    return prior + path * F.col("variance") / (1 + (F.col("info") - own_info) * F.col("variance"))
+
+
+def judged(scored: DataFrame, table: DataFrame, own: DataFrame) -> DataFrame:
+    """`scored` (doc_id, host, path, z and others) with shift and posterior, from the sites `table` and the labelled documents' `own` parts."""
+    spots = table.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct("score", "info", "prior", "variance", "host_score", "host_info", "top", "host_variance").alias("s"))
+    paths, hosts = spots.where("p is not null"), spots.where("p is null and h is not null").drop("p")
+    if table.count() <= BROADCAST_SITES:
+        paths, hosts = F.broadcast(paths), F.broadcast(hosts)
+    rows = scored.join(paths.withColumnRenamed("s", "s1"), F.expr("host = h and path = p"), "left").drop("h", "p")
+    rows = rows.join(hosts.withColumnRenamed("s", "s2"), F.expr("host = h"), "left").drop("h")
+    rows = rows.crossJoin(F.broadcast(spots.where("h is null").select(F.col("s").alias("s3"))))
+    rows = rows.withColumn("s", F.coalesce("s1", "s2", "s3")).drop("s1", "s2", "s3").select("*", "s.*").drop("s")
+    parts = own.groupBy("doc_id").agg(F.max("score").alias("own_score"), F.max("info").alias("own_info"))
+    rows = rows.join(F.broadcast(parts) if parts.count() <= BROADCAST_LABELS else parts, "doc_id", "left")
+    zero = F.lit(0.0)
+    rows = rows.withColumn("shift", _shift(F.coalesce("own_score", zero), F.coalesce("own_info", zero)))
+    return rows.withColumn("posterior", 1 / (1 + F.exp(-(F.col("z") + F.col("shift")))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """`docs` with _host, _path, _evidence, _site_rate, _posterior (probability of good quality) and _keep."""
+    """doc_id, host, path, evidence, shift, posterior (probability of good quality), keep; each text is scored once."""
     model = model or fit(docs, labels)
-    table = shared.written(sites(docs, model), "quality-rates")
-    if table.count() <= BROADCAST_SITES:
-        table = F.broadcast(table)
     host, path = _site(docs)
-    table = table.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("rate").alias("_site_rate"), F.col("shift").alias("_shift"))
-    out = docs.withColumn("_host", host).withColumn("_path", path).withColumn("_evidence", evidence(docs, model)("text")).join(table, ["_host", "_path"], "left")
-    out = out.withColumn("_posterior", 1 / (1 + F.exp(-(F.col("_evidence") + F.coalesce("_shift", F.lit(0.0))))))
-    return out.withColumn("_keep", F.col("_posterior") >= KEEP).drop("_shift")
+    rows = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
+    scored = shared.written(with_evidence(rows, model, "z", drop_text=True), "quality-scored")
+    own = shared.written(outcomes(scored, labels), "quality-outcomes")
+    out = judged(scored, shared.written(sites(own), "quality-shifts"), own)
+    return out.select("doc_id", "host", "path", F.col("z").alias("evidence"), "shift", "posterior", (F.col("posterior") >= KEEP).alias("keep"))
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not rejected, with its columns."""
-    return judge(docs, labels).where("_keep").select(*docs.columns)
+def keep(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of `docs` that are not rejected, with its columns; the texts of labelled documents are scored first, for the sites."""
+    model = model or fit(docs, labels)
+    host, path = _site(docs)
+    known = known_labels(labels).select("doc_id")
+    rows = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
+    rows = rows.join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, "doc_id", "left_semi")
+    own = shared.written(outcomes(with_evidence(rows, model, "z", drop_text=True), labels), "quality-outcomes")
+    # the columns of `docs` travel under names of their own, so that none of them clashes
+    host, path = _site(docs)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names)), docs["doc_id"].alias("doc_id"), host.alias("host"), path.alias("path"))
+    out = judged(with_evidence(rows, model, "z", names[docs.columns.index("text")]), shared.written(sites(own), "quality-shifts"), own)
+    return out.where(F.col("posterior") >= KEEP).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 
 def digest(judged: DataFrame) -> DataFrame:
     """The columns of op7."""
-    return judged.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), *(F.round(f"_{c}", 9).alias(c) for c in ("evidence", "site_rate", "posterior")), F.col("_keep").alias("keep"))
+    return judged.select("doc_id", "host", "path", *(F.round(c, 9).alias(c) for c in ("evidence", "shift", "posterior")), "keep")

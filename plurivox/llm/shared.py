@@ -67,12 +67,12 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is none of `ids`; a null id is an id here."""
+def without_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id (column `name` of both) is none of `ids`; a null id is an id here."""
     gone = unused(docs.columns, "_gone")
-    ids = ids.select(F.col("doc_id").alias(gone))
+    ids = ids.select(F.col(name).alias(gone))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
+    return docs.join(side, docs[name].eqNullSafe(F.col(gone)), "left_anti")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -96,7 +96,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], text: str | int = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in slices of at most about `size` bytes of text."""
     for batch in batches:
         col = batch.column(text)

@@ -63,18 +63,67 @@ def test_quality_on_unseen_rows(spark):
     docs, labels = labelled(spark)
     train = labels.where("doc_id % 3 != 0")
     rows = quality.judge(docs, train).join(labels, "doc_id").where("doc_id % 3 = 0").collect()
-    good, bad = [r["_keep"] for r in rows if r["quality"] == 1], [r["_keep"] for r in rows if r["quality"] == 0]
+    good, bad = [r["keep"] for r in rows if r["quality"] == 1], [r["keep"] for r in rows if r["quality"] == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
-def test_sites_shrink(spark):
-    """A site of one bad document stays near the global rate, a site of many moves to its own."""
-    docs, labels = labelled(spark)
-    from pyspark.sql import functions as F
-
-    docs = docs.withColumn("lang", F.lit("en")).withColumn("source", F.when(F.col("doc_id") == 0, "tiny").when(F.col("doc_id") % 4 == 0, "junk").otherwise("fine"))
-    rates = {r["host"]: r["rate"] for r in quality.sites(docs, quality.fit(docs, labels)).collect()}
-    assert rates["junk"] < 0.3 < rates["tiny"] < rates["fine"]
+def sited(spark, n=900):
+    """Texts that say nothing, of sites that do: host `junk` is bad but for its path `good`, `fine` is good, `tiny` has one bad label."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(n):
+        source = ("junk/a", "junk/good", "fine/a", "fine/b", "other")[k % 5] if k else "tiny/x"
+        good = {"junk/a": 0.1, "junk/good": 0.85, "fine/a": 0.95, "fine/b": 0.95, "other": 0.6, "tiny/x": 0.0}[source]
+        rows.append((k, fixtures.prose(rng, 20), "en", source))
+        if k % 3 == 0:
+            labels.append((k, int(rng.random() < good)))
+    rows += [(n, "more", "en", "tiny/x"), (n + 1, "of", "en", "tiny/y"), (n + 2, "these", "en", "unseen/z"), (n + 3, "here", "en", "junk/new")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_sites_turn_verdicts(spark):
+    """With the same evidence everywhere, labelled outcomes of a site decide; sparse sites stay near their parents."""
+    docs, labels = sited(spark)
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels, quality.Model(0.4)).collect()}
+    of = lambda source: [r for k, r in got.items() if k % 3 and k < 900 and f"{r['host']}/{r['path']}".startswith(source)]
+    assert not any(r["keep"] for r in of("junk/a")) and all(r["keep"] for r in of("junk/good") + of("fine"))
+    top, junk = got[902]["shift"], got[903]["shift"]
+    assert junk < min(top, got[1]["shift"]) and of("junk/a")[0]["shift"] < junk
+    assert abs(got[900]["shift"] - top) < abs(of("junk/a")[0]["shift"] - top) / 2
+    assert sorted(r["doc_id"] for r in quality.keep(docs, labels, quality.Model(0.4)).collect()) == sorted(k for k, r in got.items() if r["keep"])
+
+
+def test_empirical_bayes_against_brute_force(spark):
+    docs, labels = sited(spark)
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels, quality.Model(0.4)).collect()}
+    p = 1 / (1 + np.exp(-0.4))
+    own = {r["doc_id"]: (r["quality"] - p, p * (1 - p)) for r in labels.collect()}
+    site = {k: (r["host"], r["path"]) for k, r in got.items()}
+
+    def total(ids):
+        return sum(own[i][0] for i in ids), sum(own[i][1] for i in ids)
+
+    hosts, paths = {h for h, _ in (site[i] for i in own)}, {site[i] for i in own}
+    s, n = total(own)
+    top = s / (n + 1)
+    by_host = {h: total([i for i in own if site[i][0] == h]) for h in hosts}
+    rest = {h: (s - top * n, n) for h, (s, n) in by_host.items()}
+    vary = lambda parts: max(0.0, min(quality.WIDEST, sum(s * s - n for s, n in parts) / sum(n * n for _, n in parts)))
+    host_v = vary(rest.values())
+    mean = {h: top + s * host_v / (1 + n * host_v) for h, (s, n) in rest.items()}
+    by_path = {x: total([i for i in own if site[i] == x]) for x in paths}
+    path_v = vary([(s - mean[x[0]] * n, n) for x, (s, n) in by_path.items()])
+    for k, r in got.items():
+        a, b = own.get(k, (0.0, 0.0))
+        shift = top
+        if r["host"] in by_host:
+            s, n = by_host[r["host"]][0] - a, by_host[r["host"]][1] - b
+            shift = top + (s - top * n) * host_v / (1 + n * host_v)
+            if site[k] in by_path:
+                s, n = by_path[site[k]][0] - a, by_path[site[k]][1] - b
+                shift += (s - shift * n) * path_v / (1 + n * path_v)
+        assert np.isclose(r["shift"], shift) and np.isclose(r["posterior"], 1 / (1 + np.exp(-0.4 - shift)))
+    assert host_v > 0 and path_v > 0
 
 
 def test_quality_awkward(spark):
@@ -82,10 +131,16 @@ def test_quality_awkward(spark):
     rows = fixtures.awkward(spark)
     model = quality.fit(docs, labels)
     judged = quality.judge(rows, labels, model)
-    assert judged.count() == rows.count() and judged.where("_posterior between 0 and 1").count() == rows.count()
-    assert quality.keep(rows, labels).columns == rows.columns
+    assert judged.count() == rows.count() and judged.where("posterior between 0 and 1").count() == rows.count()
+    names = ("c0", "host", "path", "z", "h", "p", "s", "s1", "score", "info", "prior", "variance", "shift", "posterior", "own_score", "top", "evidence", "_gone", "_row", "_id")
+    clash = rows.selectExpr("*", *(f"'x' AS {c}" for c in names))
+    kept = quality.keep(clash, labels)
+    assert kept.columns == clash.columns and all(r["z"] == r["host"] == "x" for r in kept.collect())
     assert quality.judge(fixtures.empty(spark), labels, model).count() == 0
-    assert quality.judge(rows, labels.limit(0)).where("_keep").count() == rows.count()
+    assert quality.judge(rows, labels.limit(0), model).where("shift = 0").count() == rows.count()
+    assert quality.keep(rows, labels.limit(0)).count() == rows.count()
+    twice = labels.union(labels)
+    assert len(quality.fit(docs.union(docs), twice).w) == len(model.w) and np.allclose(quality.fit(docs.union(docs), twice).w, model.w)
 
 
 def test_words_and_hashes():
