@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurivox.llm import bpe, decontam, jaccard, quality, secrets
-from plurivox.llm.shared import table, without_ids, written
+from plurivox.llm.shared import table, unused, without_ids, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a window of a benchmark item, each judged by its own text, whatever its id."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    verdict = decontam.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = written(verdict.where("contaminated").select("doc_id"), "pipeline-contaminated")
-    return without_ids(rows.withColumnsRenamed({"doc_id": "_id", "_row": "doc_id"}), gone).drop("doc_id").withColumnRenamed("_id", "doc_id").select(docs.columns)
+    row = unused(docs.columns, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    verdict = decontam.contamination(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = written(verdict.where("contaminated").select(F.col("doc_id").alias(row)), "pipeline-contaminated")
+    return without_ids(rows, gone, row).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
