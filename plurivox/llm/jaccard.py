@@ -344,6 +344,7 @@ def join(docs: DataFrame) -> DataFrame:
     table = bands(largest)
     entries = _entries(docs, table, exchange.buckets_for(docs), common_shingles(docs), split)
     shared_keys = tables.write(entries.groupBy("bucket").applyInArrow(_answer, "key long, node long").distinct(), "keys")
+    shared.release(docs.sparkSession)
     who, sizes, short = names.select("node", "rep"), names.select("node", "n"), names.select("node", *_SHORT)
 
     # every node against the most central node of most of its keys: the one that shares keys with most nodes
@@ -362,6 +363,7 @@ def join(docs: DataFrame) -> DataFrame:
         "info",
     )
 
+    shared.release(docs.sparkSession)
     # keys that still hold several components, without the nodes whose own shingles alone rule out every other node of the key
     held = tables.write(_mixed(shared_keys.join(info, "node")), "mixed")
     alone = _alone(docs, held.select("node").distinct().join(who, "node"), split)
@@ -413,6 +415,7 @@ def join(docs: DataFrame) -> DataFrame:
     out = nodes.join(final, "node", "left").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.coalesce(F.min("component_id"), F.col("doc_id")).alias("component_id"), F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"))
     out = written(out, "jaccard")
     tables.drop()
+    shared.release(docs.sparkSession)
     return out
 
 

@@ -169,27 +169,20 @@ def outcomes(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", "path", (F.col("quality") - p).alias("score"), (p * (1 - p)).alias("info"))
 
 
-def sites(labelled: DataFrame) -> DataFrame:
-    """host, path, score, info, prior (the host's posterior shift), variance (of paths around it), host_score, host_info,
-    top (the global shift), host_variance; a row with a null path for each host, and one with a null host for all documents."""
-    by_path = shared.written(labelled.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("info").alias("info")), "quality-sites")
-    by_host = by_path.groupBy("host").agg(F.sum("score").alias("host_score"), F.sum("info").alias("host_info"))
+def sites(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Sums of paths (host, path, score, info, variance of paths around their host, and the host's columns), sums of hosts
+    (host, host_score, host_info, host_variance, prior: the host's posterior shift) and the global shift."""
+    by_path = shared.written(labelled.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("info").alias("info")), "quality-paths")
+    by_host = shared.written(by_path.groupBy("host").agg(F.sum("score").alias("host_score"), F.sum("info").alias("host_info")), "quality-hosts")
     # the global shift has a unit prior; a host's outcomes are taken relative to it, a path's relative to its host
-    whole = by_host.agg((F.coalesce(F.sum("host_score") / (F.sum("host_info") + 1), F.lit(0.0))).alias("top"))
-    rest = by_host.crossJoin(F.broadcast(whole)).withColumn("rest", F.col("host_score") - F.col("top") * F.col("host_info"))
-    hosts = rest.crossJoin(F.broadcast(rest.agg(_variance("rest", "host_info").alias("host_variance"))))
-    hosts = hosts.withColumn("prior", F.col("top") + _posterior("rest", "host_info", "host_variance"))
+    score, info = by_host.agg(F.coalesce(F.sum("host_score"), F.lit(0.0)), F.coalesce(F.sum("host_info"), F.lit(0.0))).first()
+    top = score / (info + 1)
+    hosts = by_host.withColumn("rest", F.col("host_score") - top * F.col("host_info"))
+    hosts = hosts.withColumn("host_variance", F.lit(hosts.agg(_variance("rest", "host_info")).first()[0]))
+    prior = top + F.col("rest") * F.col("host_variance") / (1 + F.col("host_info") * F.col("host_variance"))
+    hosts = shared.written(hosts.withColumn("prior", prior).drop("rest"), "quality-shifts")
     paths = by_path.join(hosts, "host").withColumn("rest", F.col("score") - F.col("prior") * F.col("info"))
-    paths = paths.crossJoin(F.broadcast(paths.agg(_variance("rest", "info").alias("variance")))).drop("rest")
-    zero = F.lit(0.0)
-    above = hosts.drop("rest").withColumns({"path": F.lit(None).cast("string"), "score": zero, "info": zero, "variance": zero})
-    top = whole.withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string"), "prior": F.col("top"), **{c: zero for c in ("score", "info", "variance", "host_score", "host_info", "host_variance")}})
-    return paths.unionByName(above).unionByName(top)
-
-
-def _posterior(score: str, info: str, variance: str) -> Column:
-    """Posterior mean of a shift with a prior of mean 0: score * variance / (1 + info * variance)."""
-    return F.col(score) * F.col(variance) / (1 + F.col(info) * F.col(variance))
+    return paths.withColumn("variance", F.lit(paths.agg(_variance("rest", "info")).first()[0])).drop("rest"), hosts, top
 
 
 def _shift(own_score: Column, own_info: Column) -> Column:
@@ -200,20 +193,16 @@ def _shift(own_score: Column, own_info: Column) -> Column:
     return prior + path * F.col("variance") / (1 + (F.col("info") - own_info) * F.col("variance"))
 
 
-def judged(scored: DataFrame, table: DataFrame, own: DataFrame) -> DataFrame:
-    """`scored` (doc_id, host, path, z and others) with shift and posterior, from the sites `table` and the labelled documents' `own` parts."""
-    spots = table.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct("score", "info", "prior", "variance", "host_score", "host_info", "top", "host_variance").alias("s"))
-    paths, hosts = spots.where("p is not null"), spots.where("p is null and h is not null").drop("p")
-    if table.count() <= BROADCAST_SITES:
-        paths, hosts = F.broadcast(paths), F.broadcast(hosts)
-    rows = scored.join(paths.withColumnRenamed("s", "s1"), F.expr("host = h and path = p"), "left").drop("h", "p")
-    rows = rows.join(hosts.withColumnRenamed("s", "s2"), F.expr("host = h"), "left").drop("h")
-    rows = rows.crossJoin(F.broadcast(spots.where("h is null").select(F.col("s").alias("s3"))))
-    rows = rows.withColumn("s", F.coalesce("s1", "s2", "s3")).drop("s1", "s2", "s3").select("*", "s.*").drop("s")
+def judged(scored: DataFrame, own: DataFrame) -> DataFrame:
+    """`scored` (doc_id, host, path, z and others) with shift and posterior, from the labelled documents' parts `own`."""
+    paths, hosts, top = sites(own)
+    paths, hosts = shared.written(paths.select("host", "path", "score", "info", "variance"), "quality-path-shifts"), hosts.drop("prior")
     parts = own.groupBy("doc_id").agg(F.max("score").alias("own_score"), F.max("info").alias("own_info"))
-    rows = rows.join(F.broadcast(parts) if parts.count() <= BROADCAST_LABELS else parts, "doc_id", "left")
-    zero = F.lit(0.0)
-    rows = rows.withColumn("shift", _shift(F.coalesce("own_score", zero), F.coalesce("own_info", zero)))
+    small = lambda t, most: F.broadcast(t) if t.count() <= most else t
+    rows = scored.join(small(paths, BROADCAST_SITES), ["host", "path"], "left").join(small(hosts, BROADCAST_SITES), "host", "left").join(small(parts, BROADCAST_LABELS), "doc_id", "left")
+    # a site without labels has no sums: its shift is its parent's
+    rows = rows.fillna(0.0, ["score", "info", "variance", "host_score", "host_info", "host_variance", "own_score", "own_info"]).withColumn("top", F.lit(top))
+    rows = rows.withColumn("shift", _shift(F.col("own_score"), F.col("own_info")))
     return rows.withColumn("posterior", 1 / (1 + F.exp(-(F.col("z") + F.col("shift")))))
 
 
@@ -224,7 +213,7 @@ def judge(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     rows = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
     scored = shared.written(with_evidence(rows, model, "z", drop_text=True), "quality-scored")
     own = shared.written(outcomes(scored, labels), "quality-outcomes")
-    out = judged(scored, shared.written(sites(own), "quality-shifts"), own)
+    out = judged(scored, own)
     return out.select("doc_id", "host", "path", F.col("z").alias("evidence"), "shift", "posterior", (F.col("posterior") >= KEEP).alias("keep"))
 
 
@@ -240,7 +229,7 @@ def keep(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Data
     host, path = _site(docs)
     names = [f"c{k}" for k in range(len(docs.columns))]
     rows = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names)), docs["doc_id"].alias("doc_id"), host.alias("host"), path.alias("path"))
-    out = judged(with_evidence(rows, model, "z", names[docs.columns.index("text")]), shared.written(sites(own), "quality-shifts"), own)
+    out = judged(with_evidence(rows, model, "z", names[docs.columns.index("text")]), own)
     return out.where(F.col("posterior") >= KEEP).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from . import shared
 
 #: Documents that training reads at most, windows of each, and windows in all.
-SAMPLE, PER_DOCUMENT, MOST_WINDOWS = 2500, 12, 30_000
+SAMPLE, PER_DOCUMENT, MOST_WINDOWS = 2000, 10, 16_000
 #: Made-up secrets in each sampled text.
 PLANTED = 3
 FEATURES = 1 << 16

@@ -55,6 +55,11 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what ended jobs have left: Spark deletes shuffle files and broadcasts when their plans are collected."""
+    spark._jvm.System.gc()
+
+
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

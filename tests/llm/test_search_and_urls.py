@@ -104,15 +104,78 @@ def test_mined_rules(spark):
     assert all((got[k] == "block") == (k % 3 == 0) for k in range(600))
     assert urlrules.mine(pages, labels.limit(0)).count() == 0
     # every kept rule matches exactly where all its tokens are
-    from pyspark.sql import functions as F
-
-    host, path = urlrules.host_path(F.col("url"))
-    have = {r[0]: set(r[1]) for r in pages.select("page_id", urlrules.tokens(host, path)).collect()}
+    have = url_tokens(spark, pages)
     need = [set(r["tokens"]) for r in rules.collect()]
     mined = {r["page_id"]: r["mined"] for r in urlrules.judge(pages, rules).collect()}
     assert mined == {k: sum(n <= h for n in need) for k, h in have.items()}
 
 
+def url_tokens(spark, pages):
+    from pyspark.sql import functions as F
+
+    host, path = urlrules.host_path(F.col("url"))
+    return {r[0]: set(r[1]) for r in pages.select("page_id", urlrules.tokens(F.col("url"), host, path)).collect()}
+
+
+def test_tokens(spark):
+    pages = spark.createDataFrame([(1, "https://a.B.net:80/x12/y/z.PDF?k=v&m#t=1"), (2, None), (3, "x://h")], "page_id long, url string")
+    assert url_tokens(spark, pages) == {1: {"h=a", "h=b", "h=net", "h=80", "s=a.b.net:80", "p=x0", "p=y", "p=z.PDF", "e=PDF", "q=k", "q=m", "v=k=v", "v=m"}, 2: set(), 3: {"h=h", "s=h"}}
+
+
+def bad_pages(n, seed, planted=True):
+    """URLs that are bad with a base rate, and where a tracker's query key, a fourth path segment or four tokens together tell."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for k in range(n):
+        parts = [rng.choice(["a", "b", "c"]) for _ in range(4)]
+        query = rng.choice(["", "?id=1", "?page=2"])
+        bad = rng.random() < 0.2
+        kind = k % 10
+        if planted and kind == 0:
+            query, bad = "?utm_source=spam", True
+        elif planted and kind == 1:
+            parts[3], bad = "casino", True
+        rows.append((k, f"https://{rng.choice(['news', 'blog', 'mart'])}.site{rng.randrange(5)}.net/{'/'.join(parts)}{query}"))
+        labels.append((k, int(not bad), None))
+    return rows, labels
+
+
+def test_rules_block_held_out_bad_pages_in_the_registered_query(spark, tmp_path):
+    """Planted bad pages that have no label are blocked, and few others; the query's verdicts come from mined rules."""
+    from plurivox.llm import queries
+
+    rows, labels = bad_pages(1500, 4)
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("doc_id < 900").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.op8_url_rules(spark, f"file://{tmp_path}").collect()}
+    assert all(got[k] == "block" for k in range(900, 1500) if k % 10 < 2)
+    assert not any(got[k] == "block" for k in range(1500) if k % 10 >= 2)
+
+
+def test_chance_gives_no_rules(spark):
+    """Labels that do not depend on the URLs give no rule, however many combinations reach the confidence."""
+    for seed in (1, 2):
+        rows, labels = bad_pages(600, seed, planted=False)
+        pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        assert urlrules.mine(pages, labels, min_count=2, min_confidence=0.4).count() == 0
+
+
+def test_counts_of_itemsets_against_brute_force(spark, monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(urlrules, "ITEMS", 30)
+    rows, labels = bad_pages(150, 9)
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = urlrules.labelled(pages, labels)
+    flat = [(frozenset(r["have"]), r["bad"]) for r in seen.collect()]
+    got = {tuple(r["tokens"]): (r["n"], r["of"]) for r in urlrules.itemsets(seen, 12).collect()}
+    often = [t for t in sorted({t for h, _ in flat for t in h}) if sum(b for h, b in flat if t in h) >= 12]
+    for size in (1, 2, 3):
+        for need in itertools.combinations(often, size):
+            n, of = sum(b for h, b in flat if h.issuperset(need)), sum(h.issuperset(need) for h, _ in flat)
+            assert got.get(need) == ((n, of) if n >= 12 else None)
+
+
 def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "https://a.com/b")], "page_id long, url string")
     assert not re.search("Python|Pandas|Arrow", urlrules.judge(pages, none(spark))._jdf.queryExecution().toString().replace("createDataFrame", ""))
