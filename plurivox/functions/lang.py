@@ -5,28 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Function words of each language (own lists); the order of the languages decides ties.
+# Function words of each language; the order of the languages decides ties.
 FUNCTION_WORDS = {
-    "fr": "le la les des du et est que pour dans par au aux une",
-    "en": "the and of to in is it that was be with from are this",
-    "de": "der die das und den von zu im nicht mit sich des auf ein",
-    "es": "el los las del y en por con una para su que se lo",
-    "pt": "o os as do da em não uma para com um mais",
-    "it": "il gli di che è per non con sono una dei della",
-    "nl": "het een van is op te dat niet voor met zijn aan",
+    "fr": "le la les de des et est que pour pas une un je ne sur qui dans plus ce il",
+    "en": "the and is of to that for not with this you are it on they we have but as be",
+    "de": "der die das und ist nicht ein eine zu mit auf den von wir es auch für dem",
+    "es": "el la los las de que no por para con una uno es en se su lo como más pero",
+    "pt": "o a os as de que não por para com uma um é em se do da como mais mas",
+    "it": "il lo la le di che non per con una uno è in si del della come più ma sono",
+    "nl": "de het een en van is niet dat op te met voor die in zijn ook maar om aan we",
 }
 
 
-def _hits(words: Column, known: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*known.split())))
-
-
 def guess(text: Column) -> Column:
     """Code of the language with most function words, `und` without any."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
-    counts = {code: _hits(words, ws) for code, ws in FUNCTION_WORDS.items()}
-    best = F.greatest(*counts.values())
-    out = F.lit("und")
-    for code, n in reversed(counts.items()):
-        out = F.when((n == best) & (best > 0), code).otherwise(out)
-    return F.when(F.length(F.trim(text)) < 3, "und").otherwise(out)
+    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
+    counts = [F.struct(hits(ws.split()).alias("n"), F.lit(-k).alias("k"), F.lit(code).alias("code")) for k, (code, ws) in enumerate(FUNCTION_WORDS.items())]
+    # one reference to the counts, so that they are not worked out again for each language; `und` wins where all are 0
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("k"), F.lit("und").alias("code"))
+    return F.when(F.length(F.trim(text)) >= 3, F.array_max(F.array(none, *counts))["code"]).otherwise("und")

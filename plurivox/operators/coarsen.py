@@ -1,7 +1,11 @@
-"""Coarsening of root themes: the nearest pair merges while both its similarity and the union's cohesion clear one bar."""
+"""Coarsening of root themes: the nearest pair merges while its similarity is above one bar and the union's cohesion reaches it.
+
+More than MAX_ROOTS themes are left as they are; `roots` then warns."""
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,44 +16,37 @@ MAX_ROOTS = 512
 
 
 def cohesion(total: np.ndarray, n: float) -> float:
-    """Mean cosine over pairs of n unit vectors with the sum `total`."""
-    return float((total @ total - n) / (n * n - n)) if n > 1 else 1.0
+    """Mean cosine of n unit vectors with the sum `total` to their centroid."""
+    return float(np.linalg.norm(total)) / n if n else 0.0
 
 
 def merge(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Group number of each root. The bar is mean + std of the pair similarities of the centroids; fewer than two groups is none."""
+    """Group number of each root. The bar is mean + std of the pair similarities of the centroids; a pair whose union is too
+    loose is not tried again; fewer than two groups is no merge at all."""
     k = len(sums)
-    groups = [[i] for i in range(k)]
+    apart = np.arange(k)
+    if k < 3:
+        return apart
     unit = lambda s: s / max(float(np.linalg.norm(s)), 1e-12)
-    if k > 2:
-        c = np.stack([unit(s) for s in sums])
-        pairs = (c @ c.T)[np.triu_indices(k, 1)]
-        bar = float(pairs.mean() + pairs.std())
-        parts = [(s.astype(float), float(n)) for s, n in zip(sums, sizes)]
-        while len(parts) > 1:
-            c = np.stack([unit(s) for s, _ in parts])
-            sim = np.where(np.triu(np.ones((len(parts), len(parts))), 1) > 0, c @ c.T, -2.0)
-            order = np.argsort(-sim, axis=None)
-            for at in order:
-                a, b = divmod(int(at), len(parts))
-                if sim[a, b] <= bar:
-                    a = -1
-                    break
-                if cohesion(parts[a][0] + parts[b][0], parts[a][1] + parts[b][1]) >= bar:
-                    break
-            else:
-                a = -1
-            if a < 0:
-                break
-            parts[a] = (parts[a][0] + parts[b][0], parts[a][1] + parts[b][1])
-            groups[a] += groups[b]
-            del parts[b], groups[b]
-    if len(groups) < 2:
-        groups = [[i] for i in range(k)]
-    out = np.zeros(k, dtype=int)
-    for g, members in enumerate(groups):
-        out[members] = g
-    return out
+    totals, n, group = [s.astype(float) for s in sums], [float(x) for x in sizes], apart.copy()
+    sim = np.stack([unit(s) for s in totals])
+    sim = sim @ sim.T
+    upper = np.triu_indices(k, 1)
+    bar = float(sim[upper].mean() + sim[upper].std())
+    open_ = np.triu(np.ones((k, k), bool), 1)  # pairs of living groups that were not refused
+    while True:
+        a, b = divmod(int(np.argmax(np.where(open_, sim, -2.0))), k)
+        if not open_[a, b] or sim[a, b] <= bar:
+            break
+        if cohesion(totals[a] + totals[b], n[a] + n[b]) < bar:
+            open_[a, b] = False
+            continue
+        totals[a], n[a] = totals[a] + totals[b], n[a] + n[b]
+        group[group == b] = a
+        open_[b, :] = open_[:, b] = False
+        sim[a, :] = sim[:, a] = [float(unit(totals[a]) @ unit(s)) for s in totals]
+    found, number = np.unique(group, return_inverse=True)
+    return number if len(found) > 1 else apart
 
 
 def roots(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -57,6 +54,7 @@ def roots(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     sums = vectors.select(key, F.posexplode(vector).alias("pos", "v")).groupBy(key, "pos").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("*").alias("n"))
     rows = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("total"), F.max("n").alias("n"))
     if rows.count() > MAX_ROOTS:
+        warnings.warn(f"more than {MAX_ROOTS} themes are not merged", stacklevel=2)
         return rows.select(key, F.col(key).alias("root"))
     kind = dict(rows.dtypes)[key]
 

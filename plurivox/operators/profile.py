@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed shapes and thresholds of the column kinds.
-DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$|^\d{2}/\d{2}/\d{4}$"
+DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?$|^\d{2}/\d{2}/\d{4}( \d{2}:\d{2}(:\d{2})?)?$"
 NUMERIC = r"^-?\d+([.,]\d+)?$"
 DATE_SHARE, NUMERIC_SHARE = 0.90, 0.95
 OPEN_ANSWERS, OPEN_LONG, OPEN_SHORT = 10, 60, 25

@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that the closure follows at most, so that a cycle ends.
-MAX_DEPTH = 32
+from ..sources.shared import checkpointed
+
+
+def _closure(nodes: DataFrame, node: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """node, ancestor, distance of all nodes, and the nodes (node, far) whose way up never ends. Distances double in each
+    round, so a tree of any depth takes as many rounds as its depth has binary digits."""
+    rows = checkpointed(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct())
+    up = rows.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    # an ancestor without a row of its own ends the way
+    jump = checkpointed(rows.where("parent is not null").select("node", F.col("parent").alias("far")))
+    reach, count = 1, rows.select("node").distinct().count()
+    while reach <= count and not jump.isEmpty():
+        beyond = jump.join(up.select(F.col("node").alias("far"), "ancestor", "distance"), "far", "left")
+        more = beyond.select("node", F.coalesce("ancestor", "far").alias("ancestor"), (F.coalesce("distance", F.lit(0)) + reach).alias("distance"))
+        up = checkpointed(up.union(more).distinct())
+        jump = checkpointed(jump.join(jump.select(F.col("node").alias("far"), F.col("far").alias("farther")), "far").select("node", F.col("farther").alias("far")).distinct())
+        reach *= 2
+    return up, jump
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """node, ancestor, distance: every node with itself and all above it."""
-    edges = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    edges.createOrReplaceTempView("plurivox_tree")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(node, ancestor, distance) AS (
-            SELECT node, node, 0 FROM plurivox_tree
-            UNION ALL SELECT up.node, t.parent, up.distance + 1 FROM up JOIN plurivox_tree t ON t.node = up.ancestor WHERE t.parent IS NOT NULL AND up.distance < {MAX_DEPTH})
-        SELECT DISTINCT node, ancestor, distance FROM up""")
+    """node, ancestor, distance (the shortest): every node with itself and all above it, however deep; a cycle ends where it closes."""
+    return _closure(nodes, node, parent)[0].groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
 
 
 def descendants(nodes: DataFrame, node: str, parent: str, root) -> DataFrame:
@@ -26,14 +36,18 @@ def descendants(nodes: DataFrame, node: str, parent: str, root) -> DataFrame:
 
 
 def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """node, root: the top of each node's tree."""
+    """node, root: the top of each node's tree, null for nodes on a cycle or under one (`violations` lists them)."""
     up = ancestors(nodes, node, parent)
-    return up.groupBy("node").agg(F.max_by("ancestor", "distance").alias("root"))
+    inner = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("ancestor"))
+    tops = up.join(inner, "ancestor", "left_anti").select("node", F.col("ancestor").alias("root"))
+    return nodes.select(F.col(node).alias("node")).distinct().join(tops, "node", "left")
 
 
 def violations(nodes: DataFrame, members: DataFrame, node: str, parent: str, member: str) -> DataFrame:
-    """problem, node: parents that do not exist, and members whose node does not."""
+    """problem, node: parents that do not exist, members whose node does not, repeated nodes, and nodes that lie on a cycle or under one."""
     ids = nodes.select(F.col(node).alias("node"))
     orphans = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias("node")).join(ids, "node", "left_anti").select(F.lit("missing parent").alias("problem"), "node")
     lost = members.select(F.col(member).alias("node")).join(ids, "node", "left_anti").select(F.lit("lost member").alias("problem"), "node")
-    return orphans.unionByName(lost)
+    twice = ids.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select(F.lit("repeated node").alias("problem"), "node")
+    endless = _closure(nodes, node, parent)[1].select(F.lit("cycle").alias("problem"), "node").distinct()
+    return orphans.unionByName(lost).unionByName(twice).unionByName(endless)

@@ -106,14 +106,18 @@ def avis_stance_tally(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("favour"), F.count_if(F.col("role") == "assistant").alias("against"), F.min(F.when(size > 200, 2).when(size > 60, 1).otherwise(0)).alias("least_confidence"))
 
 
-@C.query("""WITH p AS (SELECT least(31, CAST(floor((embedding[1]::DOUBLE + 0.6) / 1.2 * 32) AS INTEGER)) AS x, least(31, CAST(floor((embedding[2]::DOUBLE + 0.6) / 1.2 * 32) AS INTEGER)) AS y, count(*) AS w FROM embeddings WHERE abs(embedding[1]) <= 0.6 AND abs(embedding[2]) <= 0.6 GROUP BY 1, 2), g AS (SELECT a.range AS gx, b.range AS gy FROM range(32) a, range(32) b)
+@C.query("""WITH e AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), m AS (SELECT min(a) AS a0, max(a) - min(a) AS aw, min(b) AS b0, max(b) - min(b) AS bw FROM e),
+    p AS (SELECT least(31, CAST(floor((a - a0) / aw * 32) AS INTEGER)) AS x, least(31, CAST(floor((b - b0) / bw * 32) AS INTEGER)) AS y, count(*) AS w FROM e, m GROUP BY 1, 2), g AS (SELECT a.range AS gx, b.range AS gy FROM range(32) a, range(32) b)
     SELECT gx, gy, round(sum(w * exp(-((gx - x) ** 2 + (gy - y) ** 2) / 8.0)), 6) AS height FROM g, p GROUP BY gx, gy""")
 def density_grid(spark, d):
-    """Heights of a kernel density on a grid of fixed size over two components. Points are counted by cell first, so
-    what meets the grid is bounded by the cells, not by the points."""
-    at = lambda i: F.least(F.lit(31), F.floor((F.col("embedding")[i].cast("double") + 0.6) / 1.2 * 32).cast("int"))
-    inside = (F.abs(F.col("embedding")[0]) <= 0.6) & (F.abs(F.col("embedding")[1]) <= 0.6)
-    cells = read(spark, d, "embeddings").where(inside).groupBy(at(0).alias("x"), at(1).alias("y")).agg(F.count("*").alias("w"))
+    """Heights of a kernel density on a grid over the first two components, from their least to their largest values. Points
+    are counted by cell first, so what meets the grid is bounded by the cells, not by the points."""
+    e = read(spark, d, "embeddings").select(F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    least = e.agg(*(f(c).alias(n + c) for c in "ab" for f, n in ((F.min, "low_"), (F.max, "high_")))).first()
+    at = lambda c: F.least(F.lit(31), F.floor((F.col(c) - least[f"low_{c}"]) / (least[f"high_{c}"] - least[f"low_{c}"]) * 32).cast("int"))
+    if least["low_a"] in (None, least["high_a"]) or least["low_b"] == least["high_b"]:
+        at = lambda c: F.lit(0)
+    cells = e.groupBy(at("a").alias("x"), at("b").alias("y")).agg(F.count("*").alias("w"))
     axis = F.sequence(F.lit(0), F.lit(31))
     grid = cells.withColumn("gx", F.explode(axis)).withColumn("gy", F.explode(axis))
     kernel = F.exp(-(F.pow(F.col("gx") - F.col("x"), 2) + F.pow(F.col("gy") - F.col("y"), 2)) / 8.0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, spans
+from ..operators import evaluate, spans, vector
 from .base import Catalogue, read
 
 C = Catalogue()
@@ -236,11 +236,17 @@ def hero_avis(spark, d):
     return s.groupBy("theme").agg(F.max_by(F.struct(F.col("o_custkey").alias("hero"), "score"), F.struct("score", -F.col("o_custkey"))).alias("x")).select("theme", "x.hero", "x.score")
 
 
-@C.query("SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(embedding[1]::DOUBLE, 6) DESC, vec_id) AS r FROM embeddings) WHERE r <= 20")
+@C.query("""WITH e AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS pos FROM embeddings), s AS (SELECT label, pos, sum(v) AS s FROM e GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(s * s)) AS n FROM s GROUP BY 1),
+    c AS (SELECT label, vec_id, round(sum(v * s) / max(n), 6) AS c FROM e JOIN s USING (label, pos) JOIN n USING (label) GROUP BY 1, 2)
+    SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY c DESC, vec_id) AS r FROM c) WHERE r <= 20""")
 def input_cap(spark, d):
-    """The members of each theme that a model would read: a bounded number, the nearest first."""
-    rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc(F.round(F.col("embedding")[0].cast("double"), 6)), "vec_id"))
-    return read(spark, d, "embeddings").select("label", "vec_id", rank.alias("r")).where("r <= 20").select("label", "vec_id")
+    """The members of each theme that a model would read: a bounded number, the nearest to the theme's centroid first."""
+    e = read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    parts = e.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("s"))
+    sums = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("total"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size"))
+    near = F.round(vector.dot(F.col("v"), F.col("total")) / F.col("size"), 6)
+    rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc("c"), "vec_id"))
+    return e.join(sums, "label").select("label", "vec_id", near.alias("c")).withColumn("r", rank).where("r <= 20").select("label", "vec_id")
 
 
 QUERIES, ORACLES = C.queries, C.oracles

@@ -135,11 +135,13 @@ def theme_roots_of(spark, d):
     return tree.roots(_nodes(spark, d), "id", "parent_id")
 
 
-@C.query("SELECT 'lost member' AS problem, c_nationkey + 100 AS node FROM customer WHERE c_nationkey % 2 = 1 AND c_nationkey + 100 NOT IN (SELECT n_nationkey + 100 FROM nation WHERE n_nationkey < 20)")
+@C.query("""SELECT 'lost member' AS problem, c_nationkey + 200 AS node FROM customer WHERE c_custkey % 5 = 0
+    UNION ALL SELECT 'missing parent', 77 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'cycle', n_nationkey + 100 FROM nation WHERE n_regionkey IN (0, 2) UNION ALL SELECT 'cycle', r_regionkey FROM region WHERE r_regionkey IN (0, 2)""")
 def tree_violations(spark, d):
-    """Members without a node, in a tree that lacks some."""
-    nodes = _nodes(spark, d).where("id < 120")
-    return tree.violations(nodes, read(spark, d, "customer").where("c_nationkey % 2 = 1").select((F.col("c_nationkey") + 100).alias("m")), "id", "parent_id", "m")
+    """The tree of nations with broken parents, and all customers, a fifth of them under nodes that do not exist: region 1 is replaced by a missing one, regions 0 and 2 lie under each other."""
+    top = F.when(F.col("id") == 0, 2).when(F.col("id") == 2, 0).otherwise(F.when(F.col("parent_id") == 1, 77).otherwise(F.col("parent_id")))
+    members = read(spark, d, "customer").select((F.col("c_nationkey") + F.when(F.col("c_custkey") % 5 == 0, 200).otherwise(100)).alias("m"))
+    return tree.violations(_nodes(spark, d).withColumn("parent_id", top), members, "id", "parent_id", "m")
 
 
 @C.query("""SELECT r_regionkey AS node, r_name AS path FROM region UNION ALL SELECT n_nationkey + 100, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
@@ -205,12 +207,12 @@ def search_page_total(spark, d):
     return serve.page(found, ["rank"], 5, 0).crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).select("total", "rank")
 
 
-@C.query(f"SELECT doc_id, theme, lang, stance, substr(text, 1, 80) AS excerpt FROM ({_CLAIMS}) WHERE doc_id < 50")
+@C.query(f"SELECT doc_id, theme, lang, stance, substr(text, 1, 80) AS excerpt FROM ({_CLAIMS})")
 def detail_with_stance(spark, d):
     """Detail rows with the stance joined late."""
-    few = read(spark, d, "documents").where("doc_id < 50")
+    rows = read(spark, d, "documents")
     stance = F.when(F.col("quality") == 1, "favour").when(F.col("quality") == 0, "against").otherwise("nuanced")
-    return few.join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("source").alias("theme"), "lang", stance.alias("stance"), F.substring("text", 1, 80).alias("excerpt"))
+    return rows.join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("source").alias("theme"), "lang", stance.alias("stance"), F.substring("text", 1, 80).alias("excerpt"))
 
 
 QUERIES, ORACLES = C.queries, C.oracles

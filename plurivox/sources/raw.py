@@ -73,14 +73,16 @@ def flatten(df: DataFrame, prefix: str = "") -> DataFrame:
     parts = []
     for name, column in lists:
         part = df.select(*scalars, F.explode(column).alias(name))
-        parts.append(flatten(part))
+        parts.append(flatten(part.where(F.col(f"`{name}`").isNotNull())))
+    parts.append(df.where(reduce(lambda a, b: a & b, [c.isNull() for _, c in lists])).select(*scalars))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def flatten_losses(df: DataFrame) -> DataFrame:
     """One row: records that flatten() drops because all their lists are empty."""
-    lists = [F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    empty = reduce(lambda a, b: a & b, [n <= 0 for n in lists]) if lists else F.lit(False)
+    lists = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    some = reduce(lambda a, b: a | b, [c.isNotNull() for c in lists], F.lit(False))
+    empty = reduce(lambda a, b: a & b, [c.isNull() | (F.size(c) == 0) for c in lists], some)
     return df.agg(F.count_if(empty).alias("lost"))
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once under spark.checkpoint.dir (a temporary folder where it is unset) and read back."""
+    """`df` written once under spark.checkpoint.dir (a temporary folder where it is unset and Spark is local) and read back."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="plurivox-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/step-{uuid.uuid4().hex}"

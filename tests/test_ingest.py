@@ -57,6 +57,20 @@ def test_json_flatten(spark, tmp_path):
     assert raw.flatten_losses(df).first()["lost"] == 1
 
 
+def test_json_records_without_lists(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps([{"Q": "a", "R": [{"r": 1}, None], "S": {"t": [{"u": 5}]}}, {"Q": "nolist"}, {"Q": "null", "R": None}, {"Q": "empty", "R": []}]))
+    df = raw.read_json(spark, f"file://{tmp_path}/e.json")
+    got = raw.flatten(df)
+    assert sorted((r["Q"], str(r[got.columns.index("R.r")]), str(r[got.columns.index("S.t.u")])) for r in got.collect()) == [("a", "1", "None"), ("a", "None", "5"), ("nolist", "None", "None"), ("null", "None", "None")]
+    assert raw.flatten_losses(df).first()["lost"] == 1
+
+
+def test_date_kinds(spark):
+    kinds = {"a": "02/01/2024 10:11", "b": "2024-01-02T10:11:12", "c": "2024-01-02 10:11:12.5", "d": "2024-01-02T10:11Z", "e": "02/01/2024"}
+    df = spark.createDataFrame([tuple(kinds.values())] * 12, list(kinds))
+    assert {r["question"]: r["kind"] for r in profile.profile(df, list(kinds)).collect()} == {"a": "date", "b": "date", "c": "closed", "d": "closed", "e": "date"}
+
+
 def test_source_descriptor(spark, tmp_path):
     (tmp_path / "d.csv").write_text("id|w|text|kind\n1|2.5|hello there|a\n2|bad|good bye|b\n3|1|  |a\n")
     s = raw.Source("demo", f"file://{tmp_path}/d.csv", {"id": "id", "weight": "w", "text": "text"}, {"kind": ["a", "b"]}, "en", "|")

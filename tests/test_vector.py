@@ -66,3 +66,31 @@ def test_locate_counts_code_points(spark):
 
     row = spark.createDataFrame([("é\U0001f600 abc abc", "abc")], "t string, p string").select(spans.locate(F.col("t"), F.col("p")).alias("s")).first()["s"]
     assert (row["start"], row["end"]) == (3, 6)
+
+
+def test_union_cohesion_and_refused_pairs():
+    """Cohesion is the mean cosine to the centroid; a loose union is refused once and other pairs still merge."""
+    assert np.isclose(coarsen.cohesion(np.array([3.0, 4.0]), 8.0), 0.625)
+    rng = np.random.default_rng(4)
+
+    def theme(direction, spread, n=20):
+        v = np.asarray(direction) + rng.normal(0, spread, (n, 6))
+        return (v / np.linalg.norm(v, axis=1)[:, None]).sum(axis=0)
+
+    e = np.eye(6)
+    sums = np.stack([theme(e[0], 0.02), theme(e[0] + 0.05 * e[1], 0.02), theme(e[2], 1.5), theme(e[2] + 0.05 * e[3], 1.5), theme(e[4], 0.02), theme(e[5], 0.02)])
+    out = coarsen.merge(sums, np.full(6, 20.0)).tolist()
+    assert out[0] == out[1] and len(set(out[2:])) == 4
+
+
+def test_deep_trees_and_cycles(spark):
+    from plurivox.operators import tree
+
+    nodes = spark.createDataFrame([(k, k - 1 if k else None) for k in range(75)] + [(100, None), (101, 100)], "id long, parent long")
+    assert {r["node"]: r["root"] for r in tree.roots(nodes, "id", "parent").collect()} == {**{k: 0 for k in range(75)}, 100: 100, 101: 100}
+    assert tree.ancestors(nodes, "id", "parent").count() == 75 * 76 // 2 + 3
+    assert tree.descendants(nodes, "id", "parent", 40).count() == 35
+    broken = nodes.union(spark.createDataFrame([(200, 201), (201, 200), (202, 201), (300, 999), (100, None)], nodes.schema))
+    members = spark.createDataFrame([(7,), (888,)], "m long")
+    assert sorted(tuple(r) for r in tree.violations(broken, members, "id", "parent", "m").collect()) == [("cycle", 200), ("cycle", 201), ("cycle", 202), ("lost member", 888), ("missing parent", 999), ("repeated node", 100)]
+    assert {r["node"]: r["root"] for r in tree.roots(broken.where("id > 100"), "id", "parent").collect()} == {101: 100, 200: None, 201: None, 202: None, 300: 999}
