@@ -48,6 +48,29 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert by[40] == [41, 42, 43, 44, 0, 1, 2, 3, 4, 5]
 
 
+def test_places_hold_every_cell_in_bounded_blocks():
+    sizes = np.array([3, 0, 4, 2, 25, 0, 1, 10, 1])
+    base, parts = multiindex._places(sizes, 10)
+    assert parts.tolist() == [1, 1, 1, 1, 3, 1, 1, 1, 1]
+    assert base[sizes > 0].tolist() == [0, 0, 0, 1, 4, 5, 6]
+
+
+def test_large_cells_and_many_chunks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(multiindex, "QUERY_ROWS", 3)
+    x = np.random.default_rng(2).normal(size=(400, 4)).astype(np.float32).astype(float)
+    got = {}
+    for r in multiindex.search(vectors(spark, range(400), x), every=10, visit=1.0, centroids=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in v] for q, v in brute(np.arange(400), x, every=10).items()}
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    x = [[0.0, 1.0], [0.0, 4.0], [0.0, 2.0], [0.0, 9.0], [0.0, 3.0]]
+    rows = multiindex.search(vectors(spark, [0, 1, 1, 2, 0], x), every=10).collect()
+    assert sorted(tuple(r) for r in rows) == [(0, 1, 1, 1.0), (0, 2, 2, 6.0)]
+
+
 def test_few_and_none(spark):
     assert multiindex.search(vectors(spark, [0, 1, 2], [[1.0, 2.0], [2.0, 1.0], [5.0, 5.0]])).count() == 2
     assert multiindex.search(vectors(spark, [], [])).count() == 0
