@@ -243,6 +243,7 @@ def _answer(part: pa.Table) -> pa.Table:
         hit = np.repeat((node[start] != node[last]) | (np.maximum.reduceat(many, start) > 0), np.diff(np.r_[start, len(key)]))
         hit &= np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
         key, node = key[hit], node[hit]
+    shared.trim()
     return pa.table({"key": key.view(np.int64), "node": node})
 
 
@@ -332,7 +333,7 @@ def _near(pairs: DataFrame, names: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (verified links of the document's set to other sets)."""
-    tables = Tables(docs.sparkSession, "jaccard")
+    tables = Tables(docs.sparkSession, "jaccard", small=True)
     nodes = tables.write(documents_sets(docs), "sets")
     twice = nodes.where("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a != b")
     split = frozenset(r[0] for r in twice.select("node").collect())  # chance collisions of 64 bits alone

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step holds; a longer single text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,22 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most about BATCH_BYTES for what runs inside: rows are long here, and Spark's own bound is 64 MB a task and side."""
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_CONF)
+        else:
+            spark.conf.set(_BATCH_CONF, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     return Tables(df.sparkSession, name).write(df, "table")
 
 
 class Tables:
-    """Tables of one job in a folder of the shared folder, which `drop` deletes with all of them."""
+    """Tables of one job in a folder of the shared folder, which `drop` deletes with all of them; `small`: written with small Arrow batches."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.count = spark, 0
+    def __init__(self, spark: SparkSession, name: str, small: bool = False):
+        self.spark, self.count, self.small = spark, 0, small
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, **options: object) -> DataFrame:
         self.count += 1
         path = f"{self.folder}/{self.count}-{name}"
-        df.write.options(**options).parquet(path)
+        with small_batches(self.spark) if self.small else nullcontext():
+            df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -113,6 +133,15 @@ def steps(batches: Iterator[pa.RecordBatch], text: str | int = "text", size: int
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, for Spark keeps idle Python workers beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
