@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, lm, multiindex, quality, secrets, substring, toxicity, urlrules
+from . import bpe, decontam, jaccard, langid, lexical, lm, merkle, multiindex, quality, secrets, substring, toxicity, urlrules
 from .shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,5 +55,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_multi_index, op3_jaccard_join, op4_decontamination, op5_pitman_yor, op6_toxicity, op7_quality, op8_url_rules, op9_bpe, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard.ORACLE, "op4_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_multi_index, op3_jaccard_join, op4_decontamination, op5_pitman_yor, op6_toxicity, op7_quality, op8_url_rules, op9_bpe, op10_substring_dedup, op11_lexical_search, op12_language_id, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard.ORACLE, "op4_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE, "op11_lexical_search": lexical.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
