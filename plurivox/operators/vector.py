@@ -39,11 +39,17 @@ def centred(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.crossJoin(F.broadcast(mean)).withColumn(vector, normalised(less)).drop("mean")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of equal lengths as rows of doubles."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
 def pairs(vectors: DataFrame, key: str, vector: str, k: int | None = None, least: float | None = None, digits: int = 6) -> DataFrame:
     """src, dst, cosine of each vector's k nearest others, or of all others at `least` or above.
 
@@ -59,7 +65,7 @@ def pairs(vectors: DataFrame, key: str, vector: str, k: int | None = None, least
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
         src, dst, cos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if a.num_rows and b.num_rows:
-            x, y, xi, yi = _matrix(a["x"]), _matrix(b["y"]), a["xi"].to_numpy(), b["yi"].to_numpy()
+            x, y, xi, yi = matrix(a["x"]), matrix(b["y"]), a["xi"].to_numpy(), b["yi"].to_numpy()
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
             for at in range(0, len(x), 256):

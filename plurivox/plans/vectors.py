@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import closure, coarsen, node_stats, vector
+from ..operators import closure, coarsen, community, node_stats, vector
 from ..sources.shared import checkpointed
 from .base import Catalogue, read
 
@@ -156,19 +156,31 @@ def leaf_affinity(spark, d):
 
 @C.query()
 def communities(spark, d):
-    """Communities of the neighbour graph by weighted label propagation (iterative, so without SQL)."""
-    return vector.label_propagation(checkpointed(vector.edges(_knn(spark, d), EDGE)), vector.MOST_ROUNDS, checkpointed)
+    """Communities of the neighbour graph at resolution 1 (iterative, so without SQL)."""
+    return community.communities(vector.edges(_knn(spark, d), EDGE), 1.0, checkpointed)
 
 
 @C.query()
 def live_recluster(spark, d):
     """The graph clustered anew at other parameters, as theme cards of the communities."""
     vs = read(spark, d, "embeddings")
-    links = checkpointed(vector.edges(vector.pairs(vs, "vec_id", "embedding", 6), 0.3))
-    labels = vector.label_propagation(links, vector.MOST_ROUNDS, checkpointed)
+    labels = community.communities(vector.edges(vector.pairs(vs, "vec_id", "embedding", 6), 0.3), 1.0, checkpointed)
     return node_stats.theme_cards(vs.select("vec_id", "embedding").join(labels, F.col("vec_id") == F.col("node")).select("label", "embedding"), "label", "embedding")
 
 
+@C.query()
+def gamma_sweep(spark, d):
+    """Communities and modularity at each resolution, with a mark at the one that is kept (iterative, so without SQL)."""
+    return community.sweep(checkpointed(vector.edges(_knn(spark, d), EDGE)), checkpointed)[0]
+
+
+@C.query()
+def two_level_communities(spark, d):
+    """Macro communities and the leaves inside them, crumbs joined to the nearest leaf (iterative, so without SQL)."""
+    links = checkpointed(vector.edges(_knn(spark, d), EDGE))
+    return community.two_level(links, read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")), checkpointed, 0.7, 1.4)
+
+
 @C.query()
 def root_coarsening(spark, d):
     """Themes merged to coarser roots (sequential over at most 512 sums, so without SQL)."""
@@ -178,14 +190,11 @@ def root_coarsening(spark, d):
 @C.query()
 def threshold_sweep(spark, d):
     """Communities and their modularity at several edge thresholds (iterative, so without SQL)."""
-    near = checkpointed(_knn(spark, d))
-    out = None
-    for t in (0.25, 0.3, 0.35):
-        links = checkpointed(vector.edges(near, t))
-        labels = vector.label_propagation(links, vector.MOST_ROUNDS, checkpointed)
-        row = vector.modularity(links, labels).crossJoin(F.broadcast(labels.agg(F.count_distinct("label").alias("communities")))).withColumn("threshold", F.lit(t))
-        out = row if out is None else out.unionByName(row)
-    return out
+    near, bounds = checkpointed(_knn(spark, d)), (0.25, 0.3, 0.35)
+    each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("run"), F.lit(t).alias("threshold")) for k, t in enumerate(bounds))))
+    graphs = vector.edges(near, bounds[0]).select("a", "b", "w", each.alias("r")).where("w >= r.threshold").select("r.run", "a", "b", "w", F.lit(1.0).alias("gamma"))
+    found = community.modularities(graphs, community.partition(graphs, checkpointed))
+    return found.select("modularity", F.col("n_communities").alias("communities"), F.element_at(F.array(*map(F.lit, bounds)), F.col("run").cast("int") + 1).alias("threshold"))
 
 
 @C.query("SELECT count(*) AS before, sum(CASE WHEN c >= 0.2 THEN 1 ELSE 0 END) AS correlated, round(max(c), 6) AS top FROM (SELECT round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS c FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id > 0)")
