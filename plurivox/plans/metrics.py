@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, spans, vector
+from ..operators import claims, evaluate, spans, vector
 from .base import Catalogue, read
+from .claims import _NUMBERED as NUMBERED
+from .claims import _start as span_start
 
 C = Catalogue()
 _CLUSTER = """WITH t AS (SELECT {p} AS pred, {t} AS truth, count(*) AS n FROM {f} GROUP BY 1, 2), a AS (SELECT pred, sum(n) AS n, max(n) AS m FROM t GROUP BY 1), b AS (SELECT truth, sum(n) AS n FROM t GROUP BY 1), x AS (SELECT sum(n) AS total FROM t),
@@ -138,38 +140,43 @@ def cooccurrence_siblings(spark, d):
 
 
 def _claims(spark, d):
-    """Two claims of each long enough document, with their spans."""
-    head, tail = F.substring("text", 11, 40), F.substring("text", 41, 60)
-    rows = read(spark, d, "documents").where("n_chars >= 120").select("doc_id", "n_chars", "text", F.explode(F.array(head, tail)).alias("claim"))
-    return rows.withColumn("span", spans.locate(F.col("text"), F.col("claim"))).select("doc_id", "n_chars", "claim", "text", "span.start", "span.end")
+    """Every other line of a document as a claim, anchored in its whole text."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("claim", "l")).where("claim % 2 = 0")
+    rows = claims.align(docs, lines.select("doc_id", "claim", F.array("l").alias("parts"), F.lit(None).cast("string").alias("target")), "doc_id")
+    return rows.select("doc_id", "claim", "text", "spans", F.col("spans")[0]["start"].alias("start"), F.col("spans")[0]["end"].alias("end"))
 
 
-_SPANS = "SELECT doc_id, n_chars, instr(text, c) - 1 AS s, instr(text, c) - 1 + length(c) AS e, c, text FROM (SELECT doc_id, n_chars, text, unnest([substr(text, 11, 40), substr(text, 41, 60)]) AS c FROM documents WHERE n_chars >= 120)"
+_SPANS = f"SELECT doc_id, i, s, s + length(l) AS e, l AS c, text FROM (SELECT *, {span_start('nth')} AS s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, l ORDER BY i) - 1 AS nth FROM ({NUMBERED}) WHERE i % 2 = 0))"
+_COVER = f"""SELECT doc_id, min(s) AS start, max(e) AS end FROM (SELECT *, sum(CASE WHEN s > coalesce(m, -1) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (
+    SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ({_SPANS}))) GROUP BY doc_id, k"""
 
 
-@C.query(f"SELECT doc_id, s AS start, e AS end FROM ({_SPANS})")
+@C.query(f"SELECT doc_id, CAST(i AS INTEGER) AS claim, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS end FROM ({_SPANS})")
 def span_locate(spark, d):
     """Where claims stand in their contributions."""
-    return _claims(spark, d).select("doc_id", "start", "end")
+    return _claims(spark, d).select("doc_id", "claim", "start", "end")
 
 
-@C.query(f"SELECT count(*) AS claims, sum(CASE WHEN substr(text, s + 1, e - s) = c THEN 1 ELSE 0 END) AS verbatim FROM ({_SPANS})")
+@C.query(f"SELECT count(*) AS claims, count(*) FILTER (substr(text, s + 1, e - s) = c) AS verbatim FROM ({_SPANS})")
 def span_verbatim(spark, d):
-    """Claims whose span gives their text."""
-    rows = _claims(spark, d)
-    return rows.agg(F.count("*").alias("claims"), F.count_if(spans.rebuild(F.col("text"), F.array(F.struct("start", "end"))) == F.col("claim")).alias("verbatim"))
+    """Claims whose spans give their text."""
+    rows = _claims(spark, d).withColumnRenamed("text", "claim_text").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.agg(F.count("*").alias("claims"), F.count_if(spans.rebuild(F.col("text"), F.col("spans")) == F.col("claim_text")).alias("verbatim"))
 
 
-@C.query(f"WITH x AS ({_SPANS}), m AS (SELECT doc_id, min(s) AS a, max(e) AS b, min(e) AS ea, max(s) AS sb FROM x GROUP BY 1) SELECT doc_id, a AS start, b AS end FROM m WHERE sb <= ea UNION ALL SELECT doc_id, a, ea FROM m WHERE sb > ea UNION ALL SELECT doc_id, sb, b FROM m WHERE sb > ea")
+@C.query(_COVER)
 def highlight_cover(spark, d):
     """The fewest intervals that cover the claims of a contribution."""
     return spans.cover(_claims(spark, d).select("doc_id", "start", "end"), "doc_id")
 
 
-@C.query()
+@C.query(f"""WITH c AS ({_COVER}), m AS (SELECT doc_id, start, "end" FROM c UNION ALL SELECT DISTINCT doc_id, -1, 0 FROM c UNION ALL SELECT doc_id, length(text), length(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM c)),
+    n AS (SELECT doc_id, "end" AS a, lead(start) OVER (PARTITION BY doc_id ORDER BY start, "end") AS b FROM m) SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS end FROM n WHERE b - a >= 50""")
 def uncovered_segments(spark, d):
-    """Stretches of 50 characters or more that no claim covers (tested on literal spans)."""
-    return spans.uncovered(_claims(spark, d).select("doc_id", "n_chars", "start", "end"), "doc_id", "n_chars", 50)
+    """Stretches of 50 characters or more that no claim covers."""
+    sizes = read(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars"))
+    return spans.uncovered(_claims(spark, d).select("doc_id", "start", "end").join(sizes, "doc_id"), "doc_id", "n_chars", 50)
 
 
 _BOUND = "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS ref, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS hyp FROM conversations"

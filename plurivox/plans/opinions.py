@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import opinion, serve, tree
+from ..operators import claims as claims_of
+from ..operators import opinion, serve, spans, tree
 from .base import Catalogue, read
 
 C = Catalogue()
@@ -81,13 +82,14 @@ def coverage_index(spark, d):
     return read(spark, d, "documents").agg(F.round(F.least(F.lit(1.0), F.avg(F.when(F.col("source") != "src0", 1.0).otherwise(0.0))), 4).alias("coverage"), F.count_distinct("doc_id").alias("total"))
 
 
-@C.query("SELECT lang, count(*) AS n, round(avg(CASE WHEN substr(text, 1, 20) || ' ' || substr(text, 31, 15) = CASE WHEN doc_id % 10 = 0 THEN upper(substr(text, 1, 20)) ELSE substr(text, 1, 20) END || ' ' || substr(text, 31, 15) THEN 1.0 ELSE 0.0 END), 4) AS fidelity FROM documents GROUP BY lang")
+@C.query("""SELECT lang, count(*) AS n, round(avg(CASE WHEN left(text, h) || ' ' || substr(text, h + 1) = CASE WHEN doc_id % 10 = 0 THEN upper(left(text, h)) ELSE left(text, h) END || ' ' || substr(text, h + 1) THEN 1.0 ELSE 0.0 END), 4) AS fidelity
+    FROM (SELECT doc_id, lang, text, length(text) // 2 AS h FROM documents) GROUP BY lang""")
 def fidelity_index(spark, d):
-    """Share of claims whose spans rebuild their text (every tenth is altered here)."""
-    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(20).alias("end")), F.struct(F.lit(30).alias("start"), F.lit(45).alias("end")))
-    rebuilt = F.array_join(F.transform(spans, lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"])), " ")
-    head = F.substring("text", 1, 20)
-    claim = F.concat(F.when(F.col("doc_id") % 10 == 0, F.upper(head)).otherwise(head), F.lit(" "), F.substring("text", 31, 15))
+    """Share of claims whose spans, the two halves of the text, rebuild them (every tenth is altered here)."""
+    size, half = F.length("text"), F.expr("length(text) div 2")
+    head, tail = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    claim = F.concat(F.when(F.col("doc_id") % 10 == 0, F.upper(head)).otherwise(head), F.lit(" "), tail)
+    rebuilt = spans.rebuild(F.col("text"), F.array(claims_of.span(F.lit(0), half), claims_of.span(half, size)))
     return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg((rebuilt == claim).cast("double")), 4).alias("fidelity"))
 
 
