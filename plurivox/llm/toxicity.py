@@ -11,8 +11,9 @@ Thresholds are calibrated by language: the language is guessed from the text's o
 column), a threshold per guessed language is chosen on training rows held out from the fit, shrunk to the common one
 where a language has few rows, and scores are shifted so that each language's threshold stands at `CUT`.
 
-Training reads at most `SAMPLE` labelled rows (those of the smallest hashed ids). Labels serve only for training;
-lang, source and doc_id never enter a score.
+Training reads at most `SAMPLE` labelled rows (those of the smallest hashed ids; the first text in order where an id has
+several), sorted, so that the model does not depend on how rows are partitioned. Labels serve only for training; lang,
+source and doc_id never enter a score.
 
 Defined cases: null, empty and wordless texts get the score of a text without words; a null doc_id and repeated rows
 give one result row per input row; without labels of both classes the score is the share of toxic labels (0 without any).
@@ -219,7 +220,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").toArrow()
+    # one row an id, in a fixed order: folds, descent and calibration follow the order of rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toArrow()
     model = Model()
     y = rows.column("toxic").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():

@@ -151,3 +151,22 @@ def test_words_and_hashes():
     alone = shared.Words(pa.array(["long" * 20]))
     assert alone.hash[0] == w.hash[3]
     assert shared.Words(col.slice(3, 2)).hash.tolist() == w.hash[3:].tolist()
+
+
+def test_toxicity_model_does_not_depend_on_partitioning(spark):
+    docs, labels = labelled(spark, 150)
+    docs = docs.union(docs.where("doc_id < 9"))
+    one, other = toxicity.fit(docs.coalesce(1), labels), toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(one.e, other.e) and np.array_equal(one.o, other.o) and np.array_equal(one.cuts, other.cuts)
+
+
+def test_toxicity_maxima_equal_plain_loops():
+    model = toxicity.Model(seed=3)
+    buckets, first, _ = toxicity.prepare(pa.array(["a b c d a", "", "one", "x y x z w v u"]))
+    got = model.maxima(buckets, first)[0]
+    for row in range(len(first) - 1):
+        x = [model.e[b].sum(axis=0) for b in buckets[first[row] : first[row + 1]]]
+        for k, width in enumerate(toxicity.WIDTHS):
+            for q in range(toxicity.FILTERS):
+                places = [sum(float(x[i + j] @ model.f[k][q, j]) for j in range(width)) + float(model.fb[k, q]) for i in range(len(x) - width + 1)]
+                assert np.isclose(got[row, k * toxicity.FILTERS + q], max([0.0, *places]), atol=1e-5)
