@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claims, enrichment, ingestion, metrics, names, opinions, streams, texts, vectors
+from . import claims, enrichment, ingestion, metrics, names, opinions, segments, streams, texts, vectors
 
-MODULES = (vectors, texts, claims, ingestion, opinions, names, metrics, streams, enrichment)
+MODULES = (vectors, texts, claims, segments, ingestion, opinions, names, metrics, streams, enrichment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
