@@ -1,10 +1,14 @@
 """Windows over events, the same for a batch and for a stream, and the submission stream.
 
-Submissions are an append-only JSON folder; its seed and its live files are one source.
+Submissions arrive as JSON files; a store keeps the seed and all batches received.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,24 +53,106 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SUBMISSION).json(folder)
 
 
-def correlate(batch: DataFrame, before: DataFrame, bound: float = 0.68) -> DataFrame:
-    """For each submission of a batch: how many came before, how many are close, and the closest. Only aggregates leave."""
-    from ..operators.vector import dot
-
-    known = before.where("vec is not null").select(F.col("vec").alias("other"))
-    total = before.agg(F.count("*").alias("before"))
-    new = batch.withColumn("id", F.xxhash64("text", "ts"))
-    near = new.where("vec is not null").join(known).select("id", dot(F.col("vec"), F.col("other")).alias("s")).groupBy("id").agg(F.count_if(F.col("s") >= bound).alias("close"), F.round(F.max("s"), 6).alias("top"))
-    return new.join(near, "id", "left").crossJoin(F.broadcast(total)).select("ts", "before", F.coalesce("close", F.lit(0)).alias("close"), "top")
+#: Submissions compared with the store in one pass over it.
+BLOCK_ROWS = 2048
 
 
-def run_submissions(stream: DataFrame, store: str, sink, checkpoint: str):
-    """Start the stream: each micro-batch is correlated with the store, handed to `sink(df)`, then appended to the store."""
+def correlate(batch: DataFrame, before: DataFrame, bound: float = 0.68) -> DataFrame:
+    """For each submission of a batch: how many came before, how many of them are close, and the closest cosine. Only aggregates leave.
+
+    Rows of a batch meet each other in the order of (ts, text); equal rows count as one after the other. The store is read once for each `BLOCK_ROWS` new vectors,
+    which travel to its rows; no row of the store moves. Vectors are taken as they are (unit length is the sender's part); null ones are close
+    to nothing, and so are those of another length."""
+    spark = batch.sparkSession
+    new = batch.select("ts", "text", "vec").orderBy("ts", "text").toArrow()  # a micro-batch is bounded by its trigger
+    stored = before.count()
+    rows = new.to_pylist()
+    out: list[tuple] = []
+    for at in range(0, len(rows), BLOCK_ROWS):
+        block = rows[at : at + BLOCK_ROWS]
+        close, top = _against(before, [r["vec"] for r in block], bound)
+        inner, inner_top = _earlier([r["vec"] for r in rows[: at + len(block)]], at, bound)
+        for k, r in enumerate(block):
+            best = max((t for t in (top[k], inner_top[k]) if t is not None), default=None)
+            out.append((r["ts"], stored + at + k, int(close[k] + inner[k]), None if best is None else round(best, 6)))
+    return spark.createDataFrame(out, "ts timestamp, before long, close long, top double")
+
+
+def _against(before: DataFrame, vectors: list[list[float] | None], bound: float) -> tuple[list[int], list[float | None]]:
+    """For each vector: how many of the store are at `bound` or above, and the highest cosine."""
+    close, top = [0] * len(vectors), [None] * len(vectors)
+    for size in {len(v) for v in vectors if v}:
+        at = [k for k, v in enumerate(vectors) if v and len(v) == size]
+        x = np.array([vectors[k] for k in at], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch], x: np.ndarray = x) -> Iterator[pa.RecordBatch]:
+            n, best = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 4096):
+                    y = np.array(batch.column(0)[a : a + 4096].to_pylist(), np.float64)
+                    c = x @ y.T
+                    n += (c >= bound).sum(axis=1)
+                    best = np.maximum(best, c.max(axis=1))
+            seen = np.flatnonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen]), pa.array(best[seen])], names=["k", "n", "best"])
+
+        known = before.where(F.size("vec") == size).select("vec").mapInArrow(run, "k long, n long, best double")
+        for r in known.groupBy("k").agg(F.sum("n").alias("n"), F.max("best").alias("best")).collect():
+            close[at[r["k"]]], top[at[r["k"]]] = r["n"], r["best"]
+    return close, top
+
+
+def _earlier(vectors: list[list[float] | None], at: int, bound: float) -> tuple[list[int], list[float | None]]:
+    """The same for the vectors from `at` on, each against those before it in the list."""
+    close, top = [0] * (len(vectors) - at), [None] * (len(vectors) - at)
+    for size in {len(v) for v in vectors if v}:
+        places = np.array([k for k, v in enumerate(vectors) if v and len(v) == size])
+        x, new = np.array([vectors[k] for k in places], np.float64), np.flatnonzero(places >= at)
+        for a in range(0, len(new), 256):
+            own = new[a : a + 256]
+            c = np.where(places[None, :] < places[own][:, None], x[own] @ x.T, -np.inf)
+            for k, row in zip(places[own], c):
+                best = row.max()
+                if np.isfinite(best):
+                    close[k - at], top[k - at] = int((row >= bound).sum()), float(best)
+    return close, top
+
+
+class Store:
+    """An append-only table of batches in a folder: run=<stream>/epoch=<n>. A batch that is written again replaces itself, so a replay appends nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SUBMISSION):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def append(self, batch: DataFrame, run: str, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/run={run}/epoch={epoch}")
+
+    def read(self) -> DataFrame:
+        """All rows with run and epoch; empty where nothing was appended yet."""
+        schema = T.StructType([*self.schema.fields, T.StructField("run", T.StringType()), T.StructField("epoch", T.LongType())])
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def before(self, run: str, epoch: int) -> DataFrame:
+        """All rows but those of this batch and later ones of its run."""
+        return self.read().where((F.col("run") != run) | (F.col("epoch") < epoch))
+
+    def count(self) -> int:
+        return self.read().count()
+
+
+def run_submissions(stream: DataFrame, store: Store, sink, checkpoint: str, run: str = "live", bound: float = 0.68):
+    """Start the stream: each micro-batch is correlated with the store, handed to `sink(df, epoch)`, then appended to the store under its epoch. A replayed
+    epoch sees the store as it was and replaces what it appended; `sink` gets the epoch to do likewise."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(SUBMISSION).json(store)
-        sink(correlate(batch, before))
-        batch.write.mode("append").json(store)
+        batch = batch.persist()
+        try:
+            sink(correlate(batch, store.before(run, epoch), bound), epoch)
+            store.append(batch, run, epoch)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
