@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arguments, claims, enrichment, ingestion, metrics, names, opinions, segments, streams, texts, vectors
+from . import arguments, claims, enrichment, ingestion, metrics, names, opinions, segments, spaces, streams, texts, vectors
 
-MODULES = (vectors, texts, claims, arguments, segments, ingestion, opinions, names, metrics, streams, enrichment)
+MODULES = (vectors, texts, claims, arguments, segments, spaces, ingestion, opinions, names, metrics, streams, enrichment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
