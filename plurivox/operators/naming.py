@@ -69,3 +69,50 @@ def with_bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
     ts = tokens(F.col(text))
     pairs = F.transform(F.filter(F.arrays_zip(ts.alias("a"), F.slice(ts, 2, 1 << 30).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))
     return docs.select(key, F.explode(F.concat(ts, pairs)).alias("term"))
+
+
+def class_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, tf, weight of 1- and 2-grams within documents: tf the term's share of its class's grams, weight tf * ln(1 + A / f) with A the mean grams of a
+    class and f the term's own."""
+    counts = with_bigrams(docs, key, text).groupBy(key, "term").agg(F.count("*").alias("n"))
+    totals, sizes = counts.groupBy("term").agg(F.sum("n").alias("f")), counts.groupBy(key).agg(F.sum("n").alias("size"))
+    mean = sizes.agg(F.avg("size").alias("a"))
+    tf = F.col("n") / F.col("size")
+    return counts.join(totals, "term").join(sizes, key).crossJoin(F.broadcast(mean)).select(key, "term", tf.alias("tf"), (tf * F.log(1 + F.col("a") / F.col("f"))).alias("weight"))
+
+
+#: Ranked terms of a class that the first pick reads; a class that they do not fill is read four times deeper, and so on.
+DEPTH = 64
+
+
+def keywords(weights: DataFrame, stop: DataFrame, key: str, k: int, checkpoint) -> DataFrame:
+    """key, pick, term: the heaviest terms of each class (weights compared at nine digits, ties by term) without those that hold a word of `stop` (term), and
+    without a word of a 2-gram picked before it or a 2-gram with a word picked before it; at most `k`.
+
+    Picking goes term by term, but a class sends only its heaviest terms to it; those it leaves open are read deeper, until all
+    classes have `k` picks or no terms left."""
+    words = weights.where(F.col("weight") > 0).select(key, "term", F.round("weight", 9).alias("weight"), F.split("term", " ").alias("ws"))
+    bare = words.select(F.explode("ws").alias("w")).distinct().join(stop.select(F.col("term").alias("w")), "w", "left_semi")
+    held = words.select("term", F.explode("ws").alias("w")).distinct().join(bare, "w").select("term").distinct()
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("weight"), "term"))
+    ranked = words.join(held, "term", "left_anti").select(key, "term", "weight")
+    sizes = checkpoint(ranked.groupBy(key).agg(F.count("*").alias("size")))
+    schema = f"{key} {dict(weights.dtypes)[key]}, picks array<string>"
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[str] = []
+        for term in pdf.sort_values("rank")["term"]:
+            if len(kept) < k and not any(term in x.split() or x in term.split() for x in kept):
+                kept.append(term)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "picks": [kept]})
+
+    depth, done, open_ = DEPTH, None, sizes.select(key)
+    while True:
+        terms = ranked.join(open_, key, "left_semi").withColumn("rank", rank).where(F.col("rank") <= depth)
+        found = checkpoint(terms.groupBy(key).applyInPandas(pick, schema).join(sizes, key))
+        full = (F.size("picks") >= k) | (F.col("size") <= depth)
+        done = found.where(full) if done is None else done.unionByName(found.where(full))
+        open_ = found.where(~full).select(key)
+        if open_.isEmpty():
+            return done.select(key, F.posexplode("picks").alias("pick", "term")).select(key, (F.col("pick") + 1).alias("pick"), "term")
+        depth *= 4

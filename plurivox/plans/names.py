@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import reasoning_bonus, tokens
 from ..operators import naming
+from ..sources.shared import checkpointed
 from .base import Catalogue, read
 
 C = Catalogue()
@@ -150,4 +151,29 @@ def theme_blocks(spark, d):
     return docs.groupBy("source").agg(F.count("*").alias("n")).join(shown, "source")
 
 
+_STOP = f"""f AS ({_DF}), h AS (SELECT term, df FROM f WHERE df > (SELECT avg(df) + 3 * stddev_pop(df) FROM f)), l AS (SELECT df, lead(df) OVER (ORDER BY df DESC) AS below FROM (SELECT DISTINCT df FROM h)),
+    c AS (SELECT arg_max(df, (df * 1.0 / below, df)) AS cut FROM l WHERE df * 1.0 / below >= 1.3), stop AS (SELECT term FROM h, c WHERE cut IS NULL OR df >= cut)"""
+_GRAMS = f"""t AS (SELECT source, {_TOK} AS ts FROM documents), g AS (SELECT source, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS term FROM t),
+    n AS (SELECT source, term, count(*) AS n FROM g GROUP BY ALL), z AS (SELECT source, sum(n) AS size FROM n GROUP BY 1), k AS (SELECT term, sum(n) AS f FROM n GROUP BY 1),
+    w AS (SELECT source, term, n / size AS tf, n / size * ln(1 + (SELECT avg(size) FROM z) / f) AS weight FROM n JOIN z USING (source) JOIN k USING (term))"""
+
+
+@C.query(f"WITH {_GRAMS} SELECT source, term, round(tf, 9) AS tf, round(weight, 9) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(weight, 9) DESC, term) AS rank FROM w) WHERE rank <= 15")
+def ctfidf_grams(spark, d):
+    """The heaviest 1- and 2-grams of each theme."""
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("weight", 9)), "term"))
+    top = naming.class_grams(read(spark, d, "documents"), "source", "text").withColumn("rank", rank).where("rank <= 15")
+    return top.select("source", "term", F.round("tf", 9).alias("tf"), F.round("weight", 9).alias("weight"), "rank")
+
+
+@C.query(f"""WITH {_STOP}, {_GRAMS}, o AS (SELECT source, list(term ORDER BY round(weight, 9) DESC, term) AS ts FROM w WHERE len(list_filter(string_split(term, ' '), lambda x: x IN (SELECT term FROM stop))) = 0 GROUP BY 1),
+    p AS (SELECT source, list_reduce(list_concat([[]::VARCHAR[]], list_transform(ts[1:2000], lambda x: [x])), lambda a, x: CASE WHEN len(a) < 8 AND len(list_filter(a, lambda y: list_contains(string_split(y, ' '), x[1]) OR list_contains(string_split(x[1], ' '), y))) = 0 THEN list_concat(a, x) ELSE a END) AS ks FROM o)
+    SELECT source, unnest(range(1, len(ks) + 1))::INTEGER AS pick, unnest(ks) AS term FROM p""".replace("len(list_filter(string_split(term, ' '), lambda x: x IN (SELECT term FROM stop))) = 0", "NOT list_has_any(string_split(term, ' '), (SELECT list(term) FROM stop))"))
+def keyword_picks(spark, d):
+    """Keywords of each theme: the heaviest grams without stop words and without repeats of their words."""
+    docs = read(spark, d, "documents")
+    stop = naming.stop_words(naming.frequencies(docs, "text"))
+    return naming.keywords(checkpointed(naming.class_grams(docs, "source", "text")), checkpointed(stop), "source", 8, checkpointed)
+
+
 QUERIES, ORACLES = C.queries, C.oracles

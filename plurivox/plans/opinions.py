@@ -146,6 +146,30 @@ def tree_violations(spark, d):
     return tree.violations(_nodes(spark, d).withColumn("parent_id", top), members, "id", "parent_id", "m")
 
 
+def _weighted(spark, d):
+    """The tree with the customers below each node as its weight."""
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    placed = read(spark, d, "customer").select("c_nationkey").join(nations, "c_nationkey")
+    counts = placed.select(F.explode(F.array(F.col("c_nationkey") + 100, F.col("n_regionkey"))).alias("id")).groupBy("id").agg(F.count("*").alias("weight"))
+    return _nodes(spark, d).join(counts, "id", "left").select("id", "parent_id", F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+@C.query("""WITH w AS (SELECT n_nationkey + 100 AS id, n_regionkey AS p, count(c_custkey) AS weight FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL), r AS (SELECT r_regionkey AS id, coalesce(sum(weight), 0) AS weight FROM region LEFT JOIN w ON p = r_regionkey GROUP BY 1),
+    x AS (SELECT id, row_number() OVER (ORDER BY weight DESC, id) AS a FROM r), y AS (SELECT w.id, x.a, row_number() OVER (PARTITION BY p ORDER BY weight DESC, w.id) AS b FROM w JOIN x ON x.id = p), z AS (SELECT id, a, 0 AS b, 0 AS depth FROM x UNION ALL SELECT id, a, b, 1 FROM y)
+    SELECT id AS node, 'n' || (row_number() OVER (ORDER BY a, b) - 1) AS id, depth FROM z""")
+def theme_order(spark, d):
+    """Ids of themes in a walk of the tree, the heavier first."""
+    return tree.preorder(_weighted(spark, d), "id", "parent_id", "weight")
+
+
+@C.query("""WITH m AS (SELECT n_nationkey + 100 AS id, n_regionkey AS p, o_orderpriority AS o FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), c AS (SELECT id AS node, count(DISTINCT o) AS n FROM m GROUP BY 1 UNION ALL SELECT p, count(DISTINCT o) FROM m GROUP BY 1),
+    t AS (SELECT r_regionkey AS node FROM region UNION ALL SELECT n_nationkey + 100 FROM nation) SELECT node, coalesce(n, 0) AS n FROM t LEFT JOIN c USING (node)""")
+def distinct_below(spark, d):
+    """Different contributors (order priorities) of each theme and all below it."""
+    members = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select((F.col("c_nationkey") + 100).alias("m"), F.col("o_orderpriority").alias("o"))
+    return tree.distinct_below(_nodes(spark, d), members, "id", "parent_id", "m", "o")
+
+
 @C.query("""SELECT r_regionkey AS node, r_name AS path FROM region UNION ALL SELECT n_nationkey + 100, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def tree_preorder(spark, d):
     """Paths whose order is the tree's preorder."""

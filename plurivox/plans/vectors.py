@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import closure, coarsen, community, node_stats, vector
@@ -154,6 +155,19 @@ def leaf_affinity(spark, d):
     return sums.join(whole, "la").select("la", "lb", F.round(F.col("w") / F.col("t"), 6).alias("affinity"))
 
 
+@C.query("WITH c AS (" + _CARDS.format(t="embeddings") + f"""), l AS (SELECT a.label, count(*) AS dup FROM ({_DUP}) p JOIN embeddings a ON a.vec_id = p.a JOIN embeddings b ON b.vec_id = p.b WHERE a.label = b.label GROUP BY 1),
+    d AS (SELECT c.*, round(1 - coalesce(dup, 0) / (n * (n - 1) / 2.0), 6) AS diversity FROM c LEFT JOIN l USING (label)), s AS (SELECT label, round(n * (0.5 + greatest(0, consensus) * greatest(0, coalesce(diversity, 1))), 6) AS interest, round(n * greatest(consensus, 0), 6) AS flat FROM d)
+    SELECT label, interest, CAST(row_number() OVER (ORDER BY interest DESC, label) AS INTEGER) AS rank, CAST(row_number() OVER (ORDER BY flat DESC, label) AS INTEGER) AS flat_rank FROM s""")
+def theme_rank(spark, d):
+    """Themes by interest (weight times quality) and by weight times agreement."""
+    cards = theme_cards(spark, d).join(cluster_diversity(spark, d).select("label", "diversity"), "label")
+    positive = lambda c: F.greatest(F.lit(0.0), c)
+    interest = F.round(F.col("n") * (0.5 + positive(F.col("consensus")) * positive(F.coalesce("diversity", F.lit(1.0)))), 6)
+    rows = cards.select("label", interest.alias("interest"), F.round(F.col("n") * positive(F.col("consensus")), 6).alias("flat"))
+    place = lambda c: F.row_number().over(W.orderBy(F.desc(c), "label"))  # noqa: E731 one row a theme
+    return rows.select("label", "interest", place("interest").alias("rank"), place("flat").alias("flat_rank"))
+
+
 @C.query()
 def communities(spark, d):
     """Communities of the neighbour graph at resolution 1 (iterative, so without SQL)."""
