@@ -18,3 +18,16 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, checkpoint: Ca
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))
     return rows.join(F.broadcast(starts), part == F.col("_part")).select(*df.columns, (F.col("_before") + inside).alias(name))
+
+
+def numbered_within(df: DataFrame, group: str, order: list[str], name: str, count: str, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`df` with `name`, each row's place (from 0) in its group in `order`, which should be total there, and `count`, the rows of the group. No task holds a group:
+    places come from range partitions, and from the rows of the group in the partitions before, a table of one row a group and partition."""
+    rows = checkpoint(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    runs = rows.groupBy(F.col(group).alias("_of"), part.alias("_part")).agg(F.min(name).alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_of").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = runs.groupBy(F.col("_of").alias("_whole")).agg(F.sum("_n").alias(count))
+    runs = runs.withColumn("_before", before).join(totals, F.col("_of").eqNullSafe(F.col("_whole")))
+    joined = rows.join(runs, F.col(group).eqNullSafe(F.col("_of")) & (part == F.col("_part")))
+    return joined.select(*df.columns, (F.col(name) - F.col("_first") + F.col("_before")).alias(name), count)

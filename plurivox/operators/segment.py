@@ -60,7 +60,7 @@ def block_similarity(u: np.ndarray, width: int) -> np.ndarray:
 
 def novelty(u: np.ndarray, width: int) -> np.ndarray:
     """Cosine of each smoothed unit from the second on and the centroid of all before it."""
-    s = smooth(u, width)
+    s = _unit(smooth(u, width))
     n = len(s)
     if n < 2:
         return np.zeros(0)
@@ -95,7 +95,7 @@ def live(u: np.ndarray, width: int, cut: float, least: int = LEAST) -> list[int]
     n = len(u)
     if n < 2 * least:
         return []
-    s, out, begin = smooth(u, width), [], 0
+    s, out, begin = _unit(smooth(u, width)), [], 0
     total = s[0].copy()
     for i in range(1, n):
         centre = total / (i - begin)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import titles
-from ..operators import ingest, vector
+from ..operators import arguments, ingest, vector
 from .base import Catalogue, read
 
 C = Catalogue()
@@ -145,23 +144,13 @@ def token_ranks(spark, d):
     return df.join(F.broadcast(ranks), "df").select("word", "df", "rank")
 
 
-@C.query()
+@C.query("""WITH u AS (SELECT label, vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), l AS (SELECT label, list({'i': vec_id, 'v': v} ORDER BY vec_id) AS xs FROM u GROUP BY 1),
+    k AS (SELECT label, list_reduce(list_concat([list_filter(xs, lambda y: false)], list_transform(xs, lambda y: [y])), lambda a, y: CASE WHEN len(list_filter(a, lambda z: round(list_dot_product(z.v, y[1].v), 6) >= 0.2)) = 0 THEN list_concat(a, y) ELSE a END) AS ks FROM l)
+    SELECT label, unnest(ks).i AS vec_id FROM k""")
 def candidate_dedup(spark, d):
-    """Greedy choice among each theme's first five vectors: one is kept unless near a kept one (sequential, so without SQL)."""
-    import numpy as np
-
-    few = ingest.cap(read(spark, d, "embeddings"), "label", ["vec_id"], 5).select("label", "vec_id", "embedding")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        pdf = pdf.sort_values("vec_id").reset_index(drop=True)
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        for i in range(len(x)):
-            if all(x[i] @ x[j] < 0.2 for j in kept):
-                kept.append(i)
-        return pdf.loc[kept, ["label", "vec_id"]]
-
-    return few.groupBy("label").applyInPandas(greedy, "label int, vec_id long")
+    """Greedy choice among each theme's vectors in their order: one is kept unless near a kept one."""
+    rows = read(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(0).alias("n_support"))
+    return arguments.homes(rows, ["label"], 0.2).where("id = home").select("label", F.col("id").alias("vec_id"))
 
 
 @C.query("SELECT conv_id, count(*) FILTER (ref = 1 AND hyp = 1) AS hit, count(*) FILTER (ref = 1) AS truth, count(*) FILTER (hyp = 1) AS found FROM (SELECT conv_id, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS ref, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS hyp FROM conversations) GROUP BY conv_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import reasoning_bonus, tokens
 from ..operators import naming
+from ..operators.ordering import numbered_within
 from ..sources.shared import checkpointed
 from .base import Catalogue, read
 
@@ -90,10 +91,9 @@ _DEV = f"""WITH r AS (SELECT doc_id, source, n_chars, least(1.0, ({" + ".join(f"
 
 def _scores(spark, d):
     rows = read(spark, d, "documents").select("doc_id", "source", "n_chars", reasoning_bonus(F.col("text")).alias("bonus"))
-    all_rows, ordered = W.partitionBy("source"), W.partitionBy("source").orderBy("n_chars", "doc_id")
-    n = F.count("*").over(all_rows)
-    length_rank = F.when(n > 1, (F.row_number().over(ordered) - 1) / (n - 1)).otherwise(0.0)
-    # the quantile is an aggregate joined back, so no window holds a hot theme
+    rows = numbered_within(rows, "source", ["n_chars", "doc_id"], "place", "n", checkpointed)
+    length_rank = F.when(F.col("n") > 1, F.col("place") / (F.col("n") - 1)).otherwise(0.0)
+    # neither places nor the quantile, an aggregate joined back, need a window that holds a theme
     floors = rows.groupBy("source").agg(F.greatest(F.lit(0.05), F.percentile("n_chars", 0.2)).alias("floor"))
     rows = rows.withColumn("length_rank", length_rank).join(floors, "source")
     gate = F.least(F.lit(1.0), F.col("n_chars") / F.col("floor"))

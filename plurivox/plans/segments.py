@@ -47,7 +47,7 @@ def block_cosine(spark, d):
 
 
 @C.query(f"""{_UNITS}, m AS (SELECT doc_id, n, i, c, CASE WHEN n > 2 THEN avg(v) OVER (PARTITION BY doc_id, c ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) ELSE v END AS v FROM x), z AS (SELECT doc_id, i, sqrt(sum(v * v)) AS z FROM m GROUP BY ALL),
-    q AS (SELECT doc_id, i, c, CASE WHEN n > 2 AND z > 0 THEN v / z ELSE v END AS v FROM m JOIN z USING (doc_id, i)), p AS (SELECT *, avg(v) OVER (PARTITION BY doc_id, c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM q)
+    q AS (SELECT doc_id, i, c, CASE WHEN z > 0 THEN v / z ELSE v END AS v FROM m JOIN z USING (doc_id, i)), p AS (SELECT *, avg(v) OVER (PARTITION BY doc_id, c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM q)
     SELECT doc_id, CAST(i AS INTEGER) AS line, round(round(CASE WHEN sum(g * g) > 0 THEN sum(v * g) / sqrt(sum(g * g)) ELSE 1 END, 9), 6) AS novelty FROM p WHERE i > 0 GROUP BY ALL""")
 def running_novelty(spark, d):
     """Likeness of each line to the centroid of all lines before it."""

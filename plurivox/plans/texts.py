@@ -79,7 +79,8 @@ def author_hash(spark, d):
 @C.query(_lang_sql())
 def lang_guess(spark, d):
     """Language by function words, beside the stored one."""
-    return read(spark, d, "documents").select("doc_id", "lang", lang.guess(F.col("text")).alias("guess"))
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", "lang").join(lang.guesses(docs, "doc_id", "text"), "doc_id")
 
 
 @C.query(f"WITH x AS ({_lang_sql()}) SELECT lang, guess, count(*) AS n FROM x GROUP BY lang, guess")
