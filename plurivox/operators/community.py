@@ -30,7 +30,7 @@ HUB = 20_000
 #: Distributed rounds of one level; the best labels so far are kept.
 MOST_ROUNDS = 24
 #: Orders of the nodes that a whole graph is clustered from.
-STARTS = 4
+STARTS = 2
 #: Resolutions of a sweep.
 GAMMAS = (0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)
 
