@@ -21,7 +21,7 @@ def melt(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Statistics and kind of each column. The distinct count saturates at DISTINCT_CAP, so it is exact below."""
+    """Statistics and kind of each column. The distinct count that is shown saturates at DISTINCT_CAP; the ratio is that of all distinct answers."""
     cells = F.array(*(F.struct(F.lit(i).alias("question_index"), F.lit(c).alias("question"), F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("answer")) for i, c in enumerate(columns)))
     long = df.select(F.explode(cells).alias("c")).select("c.*")
     # two levels: the first groups answers, so the distinct count needs no set in memory
@@ -30,6 +30,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     size = F.length("answer")
     stats = answers.groupBy("question_index", "question").agg(
         n.alias("n_answers"),
+        F.count("answer").alias("distinct"),
         F.least(F.count("answer"), F.lit(DISTINCT_CAP)).alias("n_distinct"),
         F.sum(size * F.col("n")).alias("total"),
         F.coalesce(F.max(size), F.lit(0)).cast("long").alias("max_len"),
@@ -37,7 +38,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.sum(F.when(F.col("answer").rlike(NUMERIC), F.col("n")).otherwise(0)).alias("numbers"),
     )
     share = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("n_answers"), F.lit(0)), F.lit(0.0))
-    stats = stats.withColumn("distinct_ratio", share("n_distinct")).withColumn("avg_len", share("total"))
+    stats = stats.withColumn("distinct_ratio", share("distinct")).withColumn("avg_len", share("total"))
     return stats.select("question_index", "question", "n_answers", "n_distinct", F.round("distinct_ratio", 6).alias("distinct_ratio"), F.round("avg_len", 4).alias("avg_len"), "max_len", kind(share("dates"), share("numbers")).alias("kind"))
 
 

@@ -91,6 +91,13 @@ def test_exact_dedup_keeps_first_weight(spark):
     assert sorted((r["text"], r["o"], r["weight"]) for r in ingest.exact_dedup(df, "t", "o", F.col("w")).collect()) == [("x", 1, 4.0), ("y", 3, 1.0)]
 
 
+def test_ratio_of_more_distinct_answers_than_are_shown(spark, monkeypatch):
+    monkeypatch.setattr(profile, "DISTINCT_CAP", 50)
+    text = spark.range(100).selectExpr("concat('an answer of some thirty letters ', id % 80) as a")
+    row = profile.profile(text, ["a"]).first()
+    assert (row["n_distinct"], row["distinct_ratio"], row["kind"]) == (50, 0.8, "open_text")
+
+
 @pytest.mark.parametrize(("favour", "against", "nuanced", "profile"), [(5, 5, 2, "divided"), (9, 1, 0, "consensual"), (2, 0, 10, "unclear"), (3, 2, 0, "unclear")])
 def test_opinion_profiles(spark, favour, against, nuanced, profile):
     rows = [("t", "favour")] * favour + [("t", "against")] * against + [("t", "nuanced")] * nuanced
