@@ -48,14 +48,19 @@ def settle(first: np.ndarray, near: np.ndarray, w: np.ndarray, k: np.ndarray, sc
     for i in order:
         movable[i] = True
     queue, waiting = deque(order.tolist()), list(movable)
+    ends = [near[a:b] for a, b in zip(first, first[1:])]
+    weights = [w[a:b] for a, b in zip(first, first[1:])]
     while queue:
         i = queue.popleft()
         waiting[i] = False
         own, pull = label[i], k[i] * scale
         sums = {own: 0.0}
-        for e in range(first[i], first[i + 1]):
-            c = label[near[e]]
-            sums[c] = sums.get(c, 0.0) + w[e]
+        for j, x in zip(ends[i], weights[i]):
+            c = label[j]
+            if c in sums:
+                sums[c] += x
+            else:
+                sums[c] = x
         best, most = own, sums[own] - pull * (total[own] - k[i])
         floor = most + 1e-12
         for c, s in sums.items():
@@ -66,8 +71,7 @@ def settle(first: np.ndarray, near: np.ndarray, w: np.ndarray, k: np.ndarray, sc
             total[own] -= k[i]
             total[best] += k[i]
             label[i] = best
-            for e in range(first[i], first[i + 1]):
-                j = near[e]
+            for j in ends[i]:
                 if movable[j] and not waiting[j] and label[j] != best:
                     waiting[j] = True
                     queue.append(j)
@@ -113,11 +117,11 @@ def _cycle(a: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray, scale: fl
         at, label = part[at], over
 
 
-def multilevel(a: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray, scale: float) -> np.ndarray:
-    """Labels (from 0 without gaps) of a graph of arcs sorted by (a, b): from `STARTS` orders of the nodes, cycles while modularity rises; the
+def multilevel(a: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray, scale: float, starts: range = range(STARTS)) -> np.ndarray:
+    """Labels (from 0 without gaps) of a graph of arcs sorted by (a, b): from each of the orders `starts` of the nodes, cycles while modularity rises; the
     best of them."""
     best, most = np.arange(len(k)), quality(a, b, w, k, np.arange(len(k)), scale)
-    for seed in range(STARTS):
+    for seed in starts:
         rng, label, had = np.random.default_rng(seed), np.arange(len(k)), -np.inf
         while True:
             label = _cycle(a, b, w, k, scale, label, rng)
@@ -139,6 +143,11 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t[name].combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _meet(df: DataFrame, other: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the graph: by a shuffle, so that neither goes through the driver."""
+    return df.join(other.hint("merge"), on, how)
+
+
 def _apart(df: DataFrame) -> DataFrame:
     """`df` with columns of its own, so that it can meet a frame it shares an ancestor with."""
     return df.select(*(F.col(c).alias(c) for c in df.columns))
@@ -149,17 +158,23 @@ def _result(run: int, node: np.ndarray, label: np.ndarray) -> pa.Table:
 
 
 def _whole(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
-    """A whole graph; labels are its own nodes."""
+    """A whole graph from one order of its nodes, and the quality of what was found; labels are its own nodes."""
     order = np.argsort(_column(nodes, "node"), kind="stable")
     ids, k = _column(nodes, "node")[order], _column(nodes, "k")[order]
     if not len(ids):
-        return _result(0, ids.astype(np.int64), ids)
+        return _found(_result(0, ids.astype(np.int64), ids), 0, 0.0)
     a, b = np.searchsorted(ids, _column(arcs, "a")), np.searchsorted(ids, _column(arcs, "b"))
     by = np.lexsort((b, a))
-    label = multilevel(a[by], b[by], _column(arcs, "w")[by], k, float(nodes["scale"][0].as_py()))
+    a, b, w, scale, start = a[by], b[by], _column(arcs, "w")[by], float(nodes["scale"][0].as_py()), nodes["start"][0].as_py()
+    label = multilevel(a, b, w, k, scale, range(start, start + 1))
     least = np.full(label.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, label, ids)
-    return _result(nodes["run"][0].as_py(), ids, least[label])
+    return _found(_result(nodes["run"][0].as_py(), ids, least[label]), start, quality(a, b, w, k, label, scale))
+
+
+def _found(labels: pa.Table, start: int, value: float) -> pa.Table:
+    n = labels.num_rows
+    return labels.append_column("start", pa.array(np.full(n, start, np.int32))).append_column("quality", pa.array(np.full(n, value)))
 
 
 def _part(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
@@ -200,7 +215,7 @@ def _block(node: Column, run: Column, blocks: dict[int, int], turn: int) -> Colu
 def _quality(arcs: DataFrame, nodes: DataFrame) -> float:
     """Sum of the modularities of all graphs, arcs of a contracted node with itself left out."""
     of = nodes.select("run", "node", "label")
-    inside = arcs.join(of.select("run", F.col("node").alias("a"), F.col("label").alias("la")), ["run", "a"]).join(of.select("run", F.col("node").alias("b"), F.col("label").alias("lb")), ["run", "b"]).where("la = lb").groupBy("run").agg(F.sum("w").alias("w"))
+    inside = _meet(_meet(arcs, of.select("run", F.col("node").alias("a"), F.col("label").alias("la")), ["run", "a"]), of.select("run", F.col("node").alias("b"), F.col("label").alias("lb")), ["run", "b"]).where("la = lb").groupBy("run").agg(F.sum("w").alias("w"))
     degree = nodes.groupBy("run", "label").agg(F.sum("k").alias("k"), F.first("scale").alias("scale"), F.first("double_m").alias("m"))
     expected = degree.groupBy("run").agg(F.sum(F.col("scale") * F.col("k") * F.col("k")).alias("e"), F.first("m").alias("m"))
     return expected.join(inside, "run", "left").agg(F.sum((F.coalesce("w", F.lit(0.0)) - F.col("e")) / F.col("m"))).first()[0] or 0.0
@@ -209,8 +224,8 @@ def _quality(arcs: DataFrame, nodes: DataFrame) -> float:
 def _round(arcs: DataFrame, nodes: DataFrame, blocks: dict[int, int], turn: int, hubs: bool) -> DataFrame:
     """run, node, label after one round of all blocks."""
     totals = nodes.groupBy("run", "label").agg(F.sum("k").alias("total"))
-    full = nodes.join(totals, ["run", "label"])
-    votes = arcs.join(full.select("run", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("tb")), ["run", "b"])
+    full = _meet(nodes, totals, ["run", "label"])
+    votes = _meet(arcs, full.select("run", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("tb")), ["run", "b"])
     half = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
     light = votes.join(full.where("hub").select("run", F.col("node").alias("a")), ["run", "a"], "left_anti") if hubs else votes
     block = lambda c: _block(F.col(c), F.col("run"), blocks, turn // 2).alias("block")
@@ -237,7 +252,7 @@ def _level(arcs: DataFrame, nodes: DataFrame, sizes: dict[int, int], checkpoint:
     best, most, idle = state, _quality(arcs, state), 0
     for turn in range(MOST_ROUNDS):
         moved = _round(arcs, state, blocks, turn, hubs)
-        state = checkpoint(state.drop("label").join(moved, ["run", "node"]))
+        state = checkpoint(_meet(state.drop("label"), moved, ["run", "node"]))
         now = _quality(arcs, state)
         idle = 0 if now > most + 1e-6 else idle + 1
         if now > most:
@@ -263,21 +278,28 @@ def partition(links: DataFrame, checkpoint: Checkpoint) -> DataFrame:
         big = F.col("run").isin(*sizes)
         labels = checkpoint(_level(arcs, nodes, sizes, checkpoint).unionByName(nodes.where(~big).select("run", "node", F.col("node").alias("label"))))
         before, after = nodes.where(big).count(), labels.where(big).select("run", "label").distinct().count()
-        members = labels if members is None else checkpoint(members.withColumnRenamed("label", "via").join(labels.withColumnRenamed("node", "via"), ["run", "via"]).select("run", "node", "label"))
+        members = labels if members is None else checkpoint(_meet(members.withColumnRenamed("label", "via"), labels.withColumnRenamed("node", "via"), ["run", "via"]).select("run", "node", "label"))
         if after == before:
             return _named(members)
-        nodes = nodes.join(labels, ["run", "node"]).groupBy("run", F.col("label").alias("node")).agg(F.sum("k").alias("k"), F.first("scale").alias("scale"), F.first("double_m").alias("double_m"))
+        nodes = _meet(nodes, labels, ["run", "node"]).groupBy("run", F.col("label").alias("node")).agg(F.sum("k").alias("k"), F.first("scale").alias("scale"), F.first("double_m").alias("double_m"))
         side = lambda c, to: labels.select("run", F.col("node").alias(c), F.col("label").alias(to))
-        arcs = checkpoint(arcs.join(side("a", "la"), ["run", "a"]).join(side("b", "lb"), ["run", "b"]).where("la != lb").groupBy("run", F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
-    top = checkpoint(_apart(nodes).groupBy("run").cogroup(arcs.groupBy("run")).applyInArrow(_whole, _MOVED))
+        arcs = checkpoint(_meet(_meet(arcs, side("a", "la"), ["run", "a"]), side("b", "lb"), ["run", "b"]).where("la != lb").groupBy("run", F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
+    # a task for each order of a graph's nodes
+    starts = F.explode(F.array(*map(F.lit, range(STARTS)))).alias("start")
+    tried = _apart(nodes).select("*", starts).groupBy("run", "start").cogroup(arcs.select("*", starts).groupBy("run", "start")).applyInArrow(_whole, _MOVED + ", start int, quality double")
+    tried = checkpoint(tried)
+    # the best, of those that differ by rounding the first
+    best = tried.groupBy("run").agg(F.max("quality").alias("most"))
+    best = tried.join(best, "run").where(F.col("quality") >= F.col("most") - 1e-12).groupBy("run").agg(F.min("start").alias("start"))
+    top = checkpoint(tried.join(best, ["run", "start"]).select("run", "node", "label"))
     if members is None:
         return top
-    return _named(members.withColumnRenamed("label", "via").join(top.withColumnRenamed("node", "via"), ["run", "via"]).select("run", "node", "label"))
+    return _named(_meet(members.withColumnRenamed("label", "via"), top.withColumnRenamed("node", "via"), ["run", "via"]).select("run", "node", "label"))
 
 
 def _named(members: DataFrame) -> DataFrame:
     least = members.groupBy("run", F.col("label").alias("label")).agg(F.min("node").alias("least"))
-    return members.join(least, ["run", "label"]).select("run", "node", F.col("least").alias("label"))
+    return _meet(members, least, ["run", "label"]).select("run", "node", F.col("least").alias("label"))
 
 
 def communities(links: DataFrame, gamma: float, checkpoint: Checkpoint) -> DataFrame:
@@ -294,7 +316,7 @@ def runs_of(links: DataFrame, values: tuple[float, ...]) -> DataFrame:
 def modularities(links: DataFrame, labels: DataFrame) -> DataFrame:
     """run, modularity (of resolution 1), n_communities of the partitions `labels` (run, node, label) of graphs `links` (run, a, b, w)."""
     side = lambda c: labels.select("run", F.col("node").alias(c), F.col("label").alias("l" + c))
-    both = links.join(side("a"), ["run", "a"]).join(side("b"), ["run", "b"])
+    both = _meet(_meet(links, side("a"), ["run", "a"]), side("b"), ["run", "b"])
     ends = both.select("run", "w", F.explode(F.array("la", "lb")).alias("label")).groupBy("run", "label").agg(F.sum("w").alias("deg"))
     m = both.groupBy("run").agg(F.sum("w").alias("m"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("inside"))
     return ends.join(m, "run").groupBy("run").agg(F.round(F.max(F.col("inside") / F.col("m")) - F.sum(F.pow(F.col("deg") / (2 * F.col("m")), 2)), 6).alias("modularity"), F.count("*").alias("n_communities"))
@@ -312,19 +334,30 @@ def sweep(links: DataFrame, checkpoint: Checkpoint, gammas: tuple[float, ...] =
 
 
 def two_level(links: DataFrame, vectors: DataFrame, checkpoint: Checkpoint, gamma: float = 1.0, sub_gamma: float = 1.0, least: int = 5) -> DataFrame:
-    """node, macro, leaf of the nodes of `vectors` (node, vector): communities at `gamma`, and inside each its induced subgraph at `sub_gamma`.
+    """node, macro, leaf of the nodes of `vectors` (node, vector): `two_levels` of one graph."""
+    run = F.lit(0).cast("long").alias("run")
+    return two_levels(links.select(run, "a", "b", "w"), vectors.select(run, "node"), vectors, 1, checkpoint, gamma, sub_gamma, least).drop("run")
+
+
+def two_levels(links: DataFrame, nodes: DataFrame, vectors: DataFrame, runs: int, checkpoint: Checkpoint, gamma: float = 1.0, sub_gamma: float = 1.0, least: int = 5) -> DataFrame:
+    """run, node, macro, leaf of the `nodes` (run, node) of graphs `links` (run, a, b, w), their runs from 0 to `runs` - 1: communities at `gamma`, and inside each its
+    induced subgraph at `sub_gamma`, of all graphs at once.
 
-    A sub-community of fewer than `least` nodes joins the one of `least` or more in its macro whose centroid is nearest by cosine (compared at
+    A sub-community of fewer than `least` nodes joins the one of `least` or more in its macro whose centroid (of `vectors`: node, vector) is nearest by cosine (compared at
     nine digits, ties to the smaller label); without any, the macro has one leaf. A node without links is a macro of its own; a node without links
     inside its macro is a sub-community of its own. Labels are smallest nodes."""
-    ids = vectors.select("node")
-    macro = checkpoint(ids.join(communities(links, gamma, checkpoint), "node", "left").select("node", F.coalesce("label", "node").alias("macro")))
-    inner = links.join(macro.select(F.col("node").alias("a"), F.col("macro").alias("run")), "a").join(macro.select(F.col("node").alias("b"), F.col("macro").alias("mb")), "b").where("run = mb")
-    subs = partition(inner.select("run", "a", "b", "w", F.lit(float(sub_gamma)).alias("gamma")), checkpoint)
-    found = checkpoint(macro.join(subs.select("node", F.col("label").alias("sub")), "node", "left").select("node", "macro", F.coalesce("sub", "node").alias("sub")))
-    sizes = found.groupBy("macro", "sub").agg(F.count("*").alias("n"))
-    parts = found.join(vectors, "node").select("macro", "sub", F.posexplode("vector").alias("pos", "x")).groupBy("macro", "sub", "pos").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    centres = checkpoint(parts.groupBy("macro", "sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("v")).join(sizes, ["macro", "sub"]))
+    at = lambda g: F.lit(float(g)).alias("gamma")
+    macros = partition(links.select("run", "a", "b", "w", at(gamma)), checkpoint)
+    macro = checkpoint(_meet(nodes, macros, ["run", "node"], "left").select("run", "node", F.coalesce("label", "node").alias("macro")))
+    part = F.col("macro") * runs + F.col("run")  # a number for each macro of each graph
+    side = lambda c, to: macro.select("run", F.col("node").alias(c), part.alias(to))
+    inner = _meet(_meet(links, side("a", "part"), ["run", "a"]), side("b", "other"), ["run", "b"]).where("part = other")
+    subs = partition(inner.select(F.col("part").alias("run"), "a", "b", "w", at(sub_gamma)), checkpoint).select(F.col("run").alias("part"), "node", F.col("label").alias("sub"))
+    found = checkpoint(_meet(macro.withColumn("part", part), subs, ["part", "node"], "left").select("run", "node", "macro", F.coalesce("sub", "node").alias("sub")))
+    keys = ["run", "macro", "sub"]
+    sizes = found.groupBy(*keys).agg(F.count("*").alias("n"))
+    parts = _meet(found, vectors, "node").select(*keys, F.posexplode("vector").alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    centres = checkpoint(_meet(parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("v")), sizes, keys))
 
     def nearest(crumbs: pa.Table, viable: pa.Table) -> pa.Table:
         to = np.full(crumbs.num_rows, -1)
@@ -334,10 +367,10 @@ def two_level(links: DataFrame, vectors: DataFrame, checkpoint: Checkpoint, gamm
             for at in range(0, len(x), 1024):
                 to[at : at + 1024] = np.round(x[at : at + 1024] @ y.T, 9).argmax(axis=1)
             to = np.where(to >= 0, _column(viable, "sub")[order][to], to)
-        return pa.table({"macro": crumbs["macro"], "sub": crumbs["sub"], "to": to.astype(np.int64), "some": np.full(len(to), viable.num_rows > 0)})
+        return pa.table({"run": crumbs["run"], "macro": crumbs["macro"], "sub": crumbs["sub"], "to": to.astype(np.int64), "some": np.full(len(to), viable.num_rows > 0)})
 
-    goes = _apart(centres.where(F.col("n") < least)).groupBy("macro").cogroup(centres.where(F.col("n") >= least).groupBy("macro")).applyInArrow(nearest, "macro long, sub long, to long, some boolean")
+    goes = _apart(centres.where(F.col("n") < least)).groupBy("run", "macro").cogroup(centres.where(F.col("n") >= least).groupBy("run", "macro")).applyInArrow(nearest, "run long, macro long, sub long, to long, some boolean")
     leaf = F.when(F.col("some"), F.col("to")).when(F.col("some").isNull(), F.col("sub")).otherwise(F.col("macro"))
-    joined = checkpoint(found.join(goes, ["macro", "sub"], "left").select("node", "macro", leaf.alias("leaf")))
-    names = joined.groupBy("macro", "leaf").agg(F.min("node").alias("least"))
-    return joined.join(names, ["macro", "leaf"]).select("node", "macro", F.col("least").alias("leaf"))
+    joined = checkpoint(_meet(found, goes, keys, "left").select("run", "node", "macro", leaf.alias("leaf")))
+    names = joined.groupBy("run", "macro", "leaf").agg(F.min("node").alias("least"))
+    return _meet(joined, names, ["run", "macro", "leaf"]).select("run", "node", "macro", F.col("least").alias("leaf"))

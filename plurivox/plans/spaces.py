@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from ..functions import masks
@@ -58,13 +61,11 @@ def layer_chain(spark, d):
 def deletion_shapes(spark, d):
     """The shape of the two-level tree, whole and after one per cent of the vectors are taken out, twice (iterative, so without SQL)."""
     links, vs = checkpointed(vector.edges(_knn(spark, d), EDGE)), _vectors(spark, d).select(F.col("vec_id").alias("node"), F.col("v").alias("vector"))
-    out = None
-    for seed in range(3):
-        keep = (lambda c: F.lit(True)) if seed == 0 else (lambda c, s=seed: stability.sampled(c, s, 0.99))
-        tree = community.two_level(links.where(keep("a") & keep("b")), vs.where(keep("node")), checkpointed, 0.7, 1.4)
-        row = stability.shape(tree).withColumn("seed", F.lit(seed))
-        out = row if out is None else out.unionByName(row)
-    return out
+    keep = lambda c, s: F.lit(True) if s == 0 else stability.sampled(c, s, 0.99)
+    runs = lambda *cs: F.explode(F.array_compact(F.array(*(F.when(reduce(and_, (keep(c, s) for c in cs)), F.lit(s).cast("long")) for s in range(3))))).alias("run")
+    trees = checkpointed(community.two_levels(links.select(runs("a", "b"), "a", "b", "w"), vs.select(runs("node"), "node"), vs, 3, checkpointed, 0.7, 1.4))
+    shapes = [stability.shape(trees.where(F.col("run") == s)).withColumn("seed", F.lit(s)) for s in range(3)]
+    return shapes[0].unionByName(shapes[1]).unionByName(shapes[2])
 
 
 _MASKS = [("[A-Z][a-z]+ [a-z]+", "[name]"), ("(?:and|und|et|y) [a-z]+", "[pair]"), ("[a-z]+[.]", "[end]"), ("[0-9]+", "[number]")]

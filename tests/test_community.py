@@ -140,3 +140,21 @@ def test_empty_graph(spark):
     assert community.communities(empty, 1.0, checkpointed).collect() == []
     curve, labels = community.sweep(empty, checkpointed)
     assert curve.collect() == [] and labels.collect() == []
+
+
+def test_labels_meet_links_without_a_broadcast(spark):
+    links = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0)], "run long, a long, b long, w double")
+    labels = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (0, 3, 1)], "run long, node long, label long")
+    found = community.modularities(links, labels)
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
+    assert [tuple(r) for r in found.collect()] == [(0, 0.0, 1)]
+
+
+def test_two_levels_of_several_graphs_at_once(spark):
+    clique = lambda at: [(at + i, at + j, 1.0) for i in range(6) for j in range(i + 1, 6)]
+    graphs = [clique(0) + clique(10) + [(5, 10, 0.5)], clique(0) + clique(20)]
+    vectors = spark.createDataFrame([(n, [1.0, float(n)]) for n in (*range(6), *range(10, 16), *range(20, 26))], "node long, vector array<double>")
+    links = spark.createDataFrame([(r, *e) for r, g in enumerate(graphs) for e in g], "run long, a long, b long, w double")
+    nodes = spark.createDataFrame([(r, n) for r, g in enumerate(graphs) for n in sorted({x for a, b, _ in g for x in (a, b)})], "run long, node long")
+    got = {tuple(r) for r in community.two_levels(links, nodes, vectors, 2, checkpointed).select("run", "node", "macro", "leaf").collect()}
+    assert got == {(r, n, n // 10 * 10, n // 10 * 10) for r, g in enumerate(graphs) for a, b, _ in g for n in (a, b)}
