@@ -107,9 +107,9 @@ def pool_stats(spark, d):
     SELECT src, round(len(list_intersect(x, y)) * 1.0 / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM a JOIN b USING (src)""")
 def neighbour_jaccard(spark, d):
     """Overlap of two neighbour lists (here the near and the far part of one)."""
-    k = _knn(spark, d)
-    a, b = k.where("rank <= 5").groupBy("src").agg(F.collect_list("dst").alias("x")), k.where("rank >= 4").groupBy("src").agg(F.collect_list("dst").alias("y"))
-    return a.join(b, "src").select("src", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
+    part = lambda bound: F.collect_list(F.when(F.expr(bound), F.col("dst")))
+    lists = _knn(spark, d).groupBy("src").agg(part("rank <= 5").alias("x"), part("rank >= 4").alias("y"))
+    return lists.where((F.size("x") > 0) & (F.size("y") > 0)).select("src", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
 
 
 _DUP = f"""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
