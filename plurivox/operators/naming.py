@@ -92,8 +92,8 @@ def keywords(weights: DataFrame, stop: DataFrame, key: str, k: int, checkpoint)
     Picking goes term by term, but a class sends only its heaviest terms to it; those it leaves open are read deeper, until all
     classes have `k` picks or no terms left."""
     words = weights.where(F.col("weight") > 0).select(key, "term", F.round("weight", 9).alias("weight"), F.split("term", " ").alias("ws"))
-    bare = words.select(F.explode("ws").alias("w")).distinct().join(stop.select(F.col("term").alias("w")), "w", "left_semi")
-    held = words.select("term", F.explode("ws").alias("w")).distinct().join(bare, "w").select("term").distinct()
+    # stop words are few beside the grams, which do not move to meet them where Spark can broadcast these
+    held = words.select("term", F.explode("ws").alias("w")).join(stop.select(F.col("term").alias("w")), "w", "left_semi").select("term").distinct()
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("weight"), "term"))
     ranked = words.join(held, "term", "left_anti").select(key, "term", "weight")
     sizes = checkpoint(ranked.groupBy(key).agg(F.count("*").alias("size")))
