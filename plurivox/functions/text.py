@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,15 +21,38 @@ PII = (
 REASON_MARKS = ("because", "since", "therefore", "parce que", "car ", "donc", "weil", "denn", "porque", "por eso")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def _folded(t: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").casefold()
+
+
+#: Latin, Greek, Cyrillic and their marks and punctuation: these fold sign by sign in the JVM, but for those that become several signs or change places.
+_SIGNS = [chr(c) for lo, hi in ((0, 0x530), (0x1E00, 0x20D0)) for c in range(lo, hi)]
+_HARD = "".join(c for c in _SIGNS if len(_folded(c)) > 1 or (unicodedata.combining(c) and unicodedata.category(c) != "Mn"))
+_FOLDS = sorted((c for c in _SIGNS if c not in _HARD and _folded(c) != c), key=lambda c: _folded(c) == "")  # dropped ones last, as `translate` has it
+_OTHER = "[^\\x00-\\u052F\\u1E00-\\u20CF]" + "".join(f"|\\u{ord(c):04X}" for c in _HARD if c != "ß")
+
+
 @F.pandas_udf(T.StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    """Without accents and case: canonical decomposition, marks dropped, case folded."""
-    return texts.map(lambda t: t if t is None else t.lower() if t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").casefold())
+def _fold_others(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else _folded(t))
+
+
+def fold(text: str | Column) -> Column:
+    """Without accents and case: canonical decomposition, marks dropped, case folded. Only texts with signs beyond `_SIGNS` leave the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    other = F.coalesce(text.rlike(_OTHER), F.lit(False))
+    here = F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), "".join(_FOLDS), "".join(map(_folded, _FOLDS)))
+    return F.when(other, _fold_others(F.when(other, text))).otherwise(here)
 
 
 def mask_pii(text: Column) -> Column:

@@ -57,3 +57,13 @@ def test_anonymised_texts(spark):
     got = {r["k"]: r["m"] for r in df.collect()}
     assert got == {k: anonymised(v) for k, v in enumerate(values)}
     assert got[1] == "[reseau] ou [reseau], mais instagram tous les jours, Telegram = [mention]" and got[5] == "immatriculation : [numero] et dossier n° [numero]"
+
+
+def test_a_text_is_masked_once(spark):
+    """Each pattern stands once in the plan, however often a later step uses the text, and masks are those of the plain chain."""
+    texts = ["12 rue de la Paix 75001 Paris, +33 6 12 34 56 78", "x@y.org www.z.net @moi insta: jo.1 dossier n° 123456 00336 12345678", "a 0612345678 +44 20 7946 09581", "9+33612345678 90612345678 5+44 20 7946 0958", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(masks.anonymise(F.col("text")).alias("m"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("lotissement") == 1
+    got = [r["m"] for r in rows.collect()]
+    assert got[2] == "a [tel] [tel]" and got[3] == texts[3] and got[4:] == ["", None]
+    assert got[0].count("[adresse]") >= 1 and got[0].endswith("[tel]") and "[email] [url] [mention] [reseau]" in got[1] and "[numero]" in got[1]

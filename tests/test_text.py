@@ -59,3 +59,16 @@ def test_language(spark, raw, code):
 def test_readability(spark):
     values = [spark.range(1).select(text.readability(F.lit(n))).first()[0] for n in (0, 100, 400, 2400)]
     assert values == [0.0, 0.5, 1.0, 0.5]
+
+
+def test_fold_sign_by_sign(spark):
+    """What folds in the JVM is what Unicode's tables give, for every sign and for signs in a row; only texts with other signs go to Python."""
+    import re
+    import unicodedata
+
+    signs = [s for s in text._SIGNS if s != "\x00"]
+    rows = [*signs, "".join(signs[:700]), "".join(s for s in signs if s not in text._HARD), "Élève STRASSE Straße ﬁ ΐ 한국 ẞ", "", None]
+    want = [t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").casefold() for t in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string").select("i", text.fold("text").alias("f"))
+    assert [r["f"] for r in sorted(df.collect())] == want
+    assert not re.search(text._OTHER, "Élève Straße, œuvre – ça ¿qué?") and re.search(text._OTHER, "한")
