@@ -95,7 +95,7 @@ def author_hash(source: Column, author: Column, salt: str) -> Column:
 
 def tokens(text: Column, least: int = 3) -> Column:
     """Lower-case runs of letters of `least` characters or more."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1), lambda t: F.length(t) >= least)
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}{{{least},}})"), 1)
 
 
 def reasoning_bonus(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 
 def term_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,9 +66,8 @@ def pick_keywords(terms: DataFrame, key: str, k: int) -> DataFrame:
 
 def with_bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term of 1- and 2-grams of tokens within a document."""
-    ts = tokens(F.col(text))
-    pairs = F.transform(F.filter(F.arrays_zip(ts.alias("a"), F.slice(ts, 2, 1 << 30).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return docs.select(key, F.explode(F.concat(ts, pairs)).alias("term"))
+    pairs = lambda ts: F.zip_with(F.slice(ts, 1, F.greatest(F.size(ts) - 1, F.lit(0))), F.slice(ts, 2, F.size(ts)), lambda a, b: F.concat_ws(" ", a, b))
+    return docs.select(key, F.explode(let(tokens(F.col(text)), lambda ts: F.concat(ts, pairs(ts)))).alias("term"))
 
 
 def class_grams(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -72,3 +72,12 @@ def test_fold_sign_by_sign(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "i int, text string").select("i", text.fold("text").alias("f"))
     assert [r["f"] for r in sorted(df.collect())] == want
     assert not re.search(text._OTHER, "Élève Straße, œuvre – ça ¿qué?") and re.search(text._OTHER, "한")
+
+
+def test_bigrams_tokenise_once(spark):
+    """The tokens stand once in the plan of 1- and 2-grams, and short words stay out of both."""
+    from plurivox.operators import naming
+
+    rows = naming.with_bigrams(spark.createDataFrame([("s", "L'Été à la mer, the ab SEA"), ("s", "one"), ("s", "a"), ("s", None)], "source string, text string"), "source", "text")
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert sorted(r["term"] for r in rows.collect()) == ["mer", "mer the", "one", "sea", "the", "the sea", "été", "été mer"]
