@@ -19,7 +19,8 @@ Hot groups. A key's nodes are never paired with each other. First every node is
 its keys, the one that shares keys with most nodes. Then only keys with several components are looked at. A shingle that
 only one of all their nodes has is a difference to every other: nodes with too many of these have no similar set in a key and leave it.
 There one pivot stands for the nodes linked to it: by the triangle inequality of the symmetric difference two pivots
-further apart than the bound plus both radii have no similar nodes. Only what this leaves open is checked node by node.
+further apart than the bound plus both radii have no similar nodes. Only what this leaves open is checked node by node, once for all
+keys that two pivots share.
 The joins themselves compare short parity sketches, so that pairs too far apart never become rows, and longer sketches
 follow before any text moves. A step sends its nodes of one key once, settled if there are several.
 
@@ -376,13 +377,13 @@ def join(docs: DataFrame) -> DataFrame:
     held = tables.write(_mixed(held.join(least, "key").where(possible & inside).drop("least")), "possible")
 
     # by pivots: the join itself compares short parity sketches
-    by_pivot = held.groupBy("key", "pivot", "component").agg(F.max("r").alias("r"), F.max("n").alias("n"), F.min("n").alias("m"), F.min("own").alias("own"), F.count("*").alias("size"))
+    by_pivot = held.groupBy("key", "pivot", "component").agg(F.max("r").alias("r"), F.max("n").alias("n"), F.min("n").alias("m"), F.min("own").alias("own"))
     by_pivot = tables.write(by_pivot.join(short.withColumnRenamed("node", "pivot"), "pivot"), "pivots")
-    left, right = (by_pivot.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "component", "r", "n", "m", "own", "size", *_SHORT))) for s in "12")
+    left, right = (by_pivot.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("pivot", "component", "r", "n", "m", "own", *_SHORT))) for s in "12")
     bound = F.expr(f"(n1 + n2) * {DEN - NUM} div {DEN + NUM}")
     apart = F.greatest(F.col("m1") - F.col("n2"), F.col("m2") - F.col("n1"), F.col("m1") + F.col("own2"), F.col("m2") + F.col("own1")) <= bound
     open_keys = left.join(right, "key").where((F.col("pivot1") < F.col("pivot2")) & (F.col("component1") != F.col("component2")) & apart & (_distance() <= bound + F.col("r1") + F.col("r2")))
-    open_keys = tables.write(open_keys.select("key", "pivot1", "pivot2", "size1", "size2", (F.col("r1") + F.col("r2")).alias("slack"), bound.alias("bound")), "open-keys")
+    open_keys = tables.write(open_keys.select("pivot1", "pivot2", (F.col("r1") + F.col("r2")).alias("slack"), bound.alias("bound")), "open-keys")
     open_pairs = open_keys.groupBy("pivot1", "pivot2").agg(F.max("slack").alias("slack"), F.max("bound").alias("bound"))
     open_pairs = tables.write(_near(open_pairs, names), "open")
     tried = first.select(F.least("lead", "member").alias("pivot1"), F.greatest("lead", "member").alias("pivot2"))
@@ -393,14 +394,15 @@ def join(docs: DataFrame) -> DataFrame:
     unsure = open_pairs.where("slack > 0").join(distances, ["pivot1", "pivot2"]).where("not linked and delta <= slack + bound").select("pivot1", "pivot2", "delta")
     for s in "12":  # pivots that other links have joined meanwhile are settled
         unsure = unsure.join(now.select(F.col("node").alias(f"pivot{s}"), F.col("component").alias(f"now{s}")), f"pivot{s}", "left").withColumn(f"now{s}", F.coalesce(f"now{s}", f"pivot{s}"))
-    unsure = open_keys.join(unsure.where("now1 != now2").select("pivot1", "pivot2", "delta"), ["pivot1", "pivot2"])
-    # node by node, the pivot with fewer nodes first
-    swap = F.col("size1") > F.col("size2")
-    unsure = tables.write(unsure.select("key", "delta", F.when(swap, F.col("pivot2")).otherwise(F.col("pivot1")).alias("pivot1"), F.when(swap, F.col("pivot1")).otherwise(F.col("pivot2")).alias("pivot2")), "unsure")
-    members = held.join(short, "node")
-    ones, twos = (members.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("node", "pivot", "r", "n", "own", *_SHORT))) for s in "12")
+    # node by node, once for all keys that two pivots share: the pivot with fewer nodes first, the nodes of the other in parts
+    members = tables.write(held.select("pivot", "node", "r", "n", "own").distinct().join(short, "node"), "members")
+    unsure = tables.write(_by_size(unsure.where("now1 != now2").select("pivot1", "pivot2", "delta"), members), "unsure")
+    ones, twos = (members.select(*(F.col(c).alias(f"{c}{s}") for c in ("node", "pivot", "r", "n", "own", *_SHORT))) for s in "12")
+    parts_of = unsure.select("pivot2", "parts").distinct()
+    twos = twos.join(parts_of, "pivot2").withColumn("part", F.pmod(F.xxhash64("node2"), F.col("parts"))).drop("parts")
     likely = F.expr("greatest(abs(n1 - n2), n1 + own2, n2 + own1, delta - r1 - r2)") <= bound
-    third = unsure.join(ones, ["key", "pivot1"]).join(twos, ["key", "pivot2"]).where(likely & (_distance() <= bound) & F.expr("node1 != pivot1 or node2 != pivot2"))
+    aims = unsure.join(ones, "pivot1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    third = aims.join(twos, ["pivot2", "part"]).where(likely & (_distance() <= bound) & F.expr("node1 != pivot1 or node2 != pivot2"))
     third = third.select(F.least("node1", "node2").alias("pivot1"), F.greatest("node1", "node2").alias("pivot2"), F.lit(0).cast("long").alias("slack"), bound.alias("bound"))
     third = _verified(_near(third.distinct(), names).select(F.col("pivot1").alias("lead"), F.col("pivot2").alias("member"), "slack"), docs, who, split, tables)
 
@@ -420,6 +422,16 @@ def join(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _by_size(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The `pairs` (pivot1, pivot2, delta) with the pivot of fewer `members` (pivot, node) first, and `parts`: into how many the nodes of the other are dealt."""
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("size"))
+    for s in "12":
+        pairs = pairs.join(sizes.select(F.col("pivot").alias(f"pivot{s}"), F.col("size").alias(f"size{s}")), f"pivot{s}")
+    swap = F.col("size1") > F.col("size2")
+    first, second = F.when(swap, F.col("pivot2")).otherwise(F.col("pivot1")), F.when(swap, F.col("pivot1")).otherwise(F.col("pivot2"))
+    return pairs.select(first.alias("pivot1"), second.alias("pivot2"), "delta", F.ceil(F.greatest("size1", "size2") / SALT_ROWS).alias("parts"))
+
+
 def _distance() -> Column:
     """Hamming distance of the short parity sketches of sides 1 and 2: a lower bound of the symmetric difference."""
     return F.expr(" + ".join(f"bit_count({c}1 ^ {c}2)" for c in _SHORT))

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plurivox.llm import jaccard
 from plurivox.llm.components import components
@@ -99,3 +100,34 @@ def test_sketches_bound_the_difference():
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (7, 8), (5, 5), (3, 4), (20, 10), (10, 30)], "a long, b long")
     assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7), (10, 10), (20, 10), (30, 10)}
+
+
+def _near_misses(size, seed):
+    """A base text, `size` texts linked to it, and as many to which it is just too far."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(240)]
+    out = [" ".join(base)]
+    for edits in [4] * size + [6] * size:
+        words = list(base)
+        for at in rng.sample(range(5, 235, 8), edits):
+            words[at] = f"x{rng.randrange(12)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_open_pivots_meet_once_for_all_keys(spark, monkeypatch):
+    """Nodes of two pivots that many keys leave open are compared once, not once a key, and the groups stay right."""
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 8)
+    open_pairs, plain = [], jaccard.Tables.write
+
+    def write(self, df, name, **options):
+        out = plain(self, df, name, **options)
+        if name == "unsure":
+            open_pairs.append((out.count(), out.select(F.least("pivot1", "pivot2"), F.greatest("pivot1", "pivot2")).distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard.Tables, "write", write)
+    values = _near_misses(24, 4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(fixtures.table(spark, values)).collect()}
+    assert got == brute(enumerate(values))
+    assert open_pairs[0][0] == open_pairs[0][1] > 0
