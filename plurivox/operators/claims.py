@@ -6,8 +6,12 @@ found nowhere is rejected, so no claim holds a word that its contribution does n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +20,11 @@ from .ordering import numbered
 
 #: Characters that count as white space (fixed values).
 SPACE = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN, _LONG = re.compile(SPACE + "+"), re.compile(SPACE + "{2,}")
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(SPACE, c))
 JOINT = " "
+#: Parts that meet their text at once, and claims that leave a task at once.
+PARTS, OUT_ROWS = 4096, 4096
 _SPAN = "struct<start: int, end: int>"
 _OBJECT = "text string, spans array<array<int>>, start int, end int, target array<int>"
 
@@ -26,68 +34,100 @@ def span(start: Column, end: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-
-
-def _literal(part: Column) -> Column:
-    """A pattern that matches `part` itself."""
-    return F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
-def offset_map(text: Column) -> Column:
-    """short: `text` with every run of white space as one space; stretches: the lengths between its longer runs; runs: by how much each is longer."""
-    long = SPACE + "{2,}"
-    stretches = F.transform(F.split(text, long, -1), lambda x: F.length(x))
-    runs = F.transform(F.regexp_extract_all(text, F.lit(f"({long})"), 1), lambda x: F.length(x) - 1)
-    return F.struct(F.regexp_replace(text, f"{SPACE}+", " ").alias("short"), stretches.alias("stretches"), runs.alias("runs"))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _back(places: Column, at: Column) -> Column:
-    """The place in the text of the place `at` in its short form: further on by what the longer runs before it add."""
-    steps = F.zip_with(F.slice(places["stretches"], 1, F.greatest(F.size(places["runs"]), F.lit(1))), places["runs"], lambda n, more: F.struct(n.alias("n"), F.coalesce(more, F.lit(0)).alias("more")))
-    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("more"))
-    step = lambda s, x: F.struct((s["seen"] + x["n"] + 1).alias("seen"), (s["more"] + F.when(s["seen"] + x["n"] < at, x["more"]).otherwise(0)).alias("more"))
-    return at + F.aggregate(steps, start, step)["more"]
-
-
-def locate(text: Column, part: Column, nth: Column, places: Column | None = None) -> Column:
-    """start, end of the occurrence `nth` (from 0) of a stripped part that is not empty: occurrences follow each other without overlap and start
-    over when they are used up. Without any, the first place that differs in white space only; null without one. `places` is the text's
-    offset map, where it has been made already."""
-    places = offset_map(text) if places is None else places
-    def exact(pieces: Column) -> Column:
-        whole_turn = F.size(pieces) - 1
-        start = F.length(F.call_function("array_join", F.slice(pieces, 1, F.pmod(nth, F.greatest(whole_turn, F.lit(1))).cast("int") + 1), part))
-        return F.when(whole_turn > 0, _let(start, lambda at: span(at, at + F.length(part))))
-
-    def tolerant(sought: Column) -> Column:
-        return _let(F.position(sought, places["short"]), lambda at: F.when(at > 0, span(_back(places, at - 1), _back(places, at - 2 + F.length(sought)) + 1)))
-
-    return F.coalesce(_let(F.split(text, _literal(part), -1), exact), _let(F.regexp_replace(part, f"{SPACE}+", " "), tolerant))
+    return F.btrim(text, F.lit(_SPACES))
+
+
+class _Text:
+    """A text in which parts are located; the occurrences of a repeated part, and the text with short runs of white space, are worked out once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self._all, self._short = text, {}, None
+
+    def exact(self, part: str, nth: int) -> int:
+        """Where the occurrence `nth` begins, starting over when they are used up; -1 without any."""
+        if not nth:
+            return self.text.find(part)
+        if part not in self._all:
+            found, at = [], self.text.find(part)
+            while at >= 0:
+                found.append(at)
+                at = self.text.find(part, at + len(part))
+            self._all[part] = found
+        found = self._all[part]
+        return found[nth % len(found)] if found else -1
+
+    def tolerant(self, part: str) -> tuple[int, int] | None:
+        """The first place that differs in white space only: looked for with every run of white space as one space, and taken back by what the longer runs before add."""
+        if self._short is None:
+            runs = [(m.start(), len(m.group()) - 1) for m in _LONG.finditer(self.text)]
+            before = [0, *accumulate(more for _, more in runs)]
+            self._short = _RUN.sub(" ", self.text), [at - less for (at, _), less in zip(runs, before)], before
+        short, places, before = self._short
+        sought = _RUN.sub(" ", part)
+        at = short.find(sought)
+        if at < 0:
+            return None
+        last = at + len(sought) - 1
+        return at + before[bisect_left(places, at)], last + before[bisect_left(places, last)] + 1
+
+    def locate(self, part: str, nth: int) -> tuple[int, int] | None:
+        at = self.exact(part, nth)
+        return (at, at + len(part)) if at >= 0 else self.tolerant(part)
+
+
+def _anchored(text: str, asked: Iterable[tuple]) -> Iterator[tuple]:
+    """claim, text, spans, target of the claims of a text with an anchored part; `asked`: claim, place (-1: a target), part, nth."""
+    places, found = _Text(text), {}
+    for claim, place, part, nth in asked:
+        span = places.locate(part, nth)
+        if span:
+            found.setdefault(claim, []).append((place, span))
+    for claim, ps in found.items():
+        ps.sort()
+        spans = [s for place, s in ps if place >= 0]
+        if spans:
+            yield claim, JOINT.join(text[a:b] for a, b in spans), [{"start": a, "end": b} for a, b in spans], dict(zip(("start", "end"), ps[0][1])) if ps[0][0] < 0 else None
 
 
 def align(texts: DataFrame, claims: DataFrame, key: str) -> DataFrame:
     """key, claim, text, spans, target of the claims (key, claim, parts array<string>, target string) of `texts` (key, text).
 
     Claims of a text are taken in the order of `claim`, their parts in their own. The same part again, in the same claim or another, gets the next
-    occurrence. Blank and null parts are passed over; claims without an anchored part are left out; a target is its first occurrence, or null."""
-    asked = claims.select(key, "claim", F.posexplode("parts").alias("place", "part")).withColumn("part", stripped(F.col("part"))).where(F.length("part") > 0)
-    nth = F.row_number().over(W.partitionBy(key, "part").orderBy("claim", "place")) - 1
-    asked = asked.withColumn("nth", nth)
-    aims = claims.select(key, "claim", F.lit(-1).alias("place"), stripped(F.col("target")).alias("part"), F.lit(0).alias("nth")).where(F.length("part") > 0)
-    mapped = texts.select(key, "text", offset_map(F.col("text")).alias("places"))
-    one = F.array_compact(F.array(locate(F.col("text"), F.col("part"), F.col("nth"), F.col("places"))))
-    found = asked.unionByName(aims).join(mapped, key).select("*", F.explode(one).alias("span"))
-    piece = F.substr("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    rows = found.select(key, "claim", F.struct("place", "span", piece.alias("piece")).alias("p")).groupBy(key, "claim").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    parts = F.filter("ps", lambda p: p["place"] >= 0)
-    target = F.get(F.filter("ps", lambda p: p["place"] < 0), F.lit(0))["span"]
-    return rows.where(F.size(parts) > 0).select(key, "claim", F.array_join(F.transform(parts, lambda p: p["piece"]), JOINT).alias("text"), F.transform(parts, lambda p: p["span"]).alias("spans"), target.alias("target"))
+    occurrence. Blank and null parts are passed over; claims without an anchored part are left out; a target is its first occurrence, or null.
+    A text meets its claims once for each `PARTS` parts, never once a part."""
+    asked = claims.select(key, "claim", F.posexplode("parts").alias("place", "part")).unionByName(claims.select(key, "claim", F.lit(-1).alias("place"), F.col("target").alias("part")))
+    asked = asked.withColumn("part", stripped(F.col("part"))).where(F.length("part") > 0).repartition(key)
+    aim = F.col("place") < 0
+    nth = F.when(aim, 0).otherwise(F.row_number().over(W.partitionBy(key, "part", aim).orderBy("claim", "place")) - 1)
+    groups = F.ceil(F.count("*").over(W.partitionBy(key)) / PARTS)
+    asked = asked.withColumn("nth", nth).withColumn("group", F.pmod(F.xxhash64("claim"), groups))
+    held = asked.groupBy(key, "group").agg(F.collect_list(F.struct("claim", "place", "part", "nth")).alias("ps"))
+    rows = held.join(texts.select(key, "text").hint("merge"), key).select(key, "text", "ps.claim", "ps.place", "ps.part", "ps.nth")
+    kinds = dict(claims.dtypes)
+    schema = f"`{key}` {kinds[key]}, claim {kinds['claim']}, text string, spans array<{_SPAN}>, target {_SPAN}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+        def made(batch: pa.RecordBatch, at: list[int], out: list[tuple]) -> pa.RecordBatch:
+            claim, text, spans, target = zip(*out)
+            arrays = [batch.column(0).take(pa.array(at)), pa.array(claim, batch.column(2).type.value_type), pa.array(text, pa.string()), pa.array(spans, pa.list_(pair)), pa.array(target, pair)]
+            return pa.RecordBatch.from_arrays(arrays, names=[key, "claim", "text", "spans", "target"])
+
+        for batch in batches:
+            at, out = [], []
+            for k in range(batch.num_rows):
+                text, *columns = (batch.column(c)[k].as_py() for c in range(1, 6))
+                for row in _anchored(text, zip(*columns)) if text else ():
+                    at.append(k)
+                    out.append(row)
+                if len(out) >= OUT_ROWS:
+                    yield made(batch, at, out)
+                    at, out = [], []
+            if out:
+                yield made(batch, at, out)
+
+    return rows.mapInArrow(run, schema)
 
 
 def whole(text: Column) -> Column:

@@ -35,7 +35,7 @@ def _lines(spark, d):
 def _aligned(spark, d):
     """Each line as a claim of three parts: itself, itself with other white space, and words that stand nowhere."""
     docs = _lines(spark, d)
-    part = lambda x: F.array(x, F.regexp_replace(x, " ", " \t "), F.concat(x, F.lit(" ✗")))
+    part = lambda x: F.array(x, F.replace(x, F.lit(" "), F.lit(" \t ")), F.concat(x, F.lit(" ✗")))
     asked = docs.select("doc_id", F.posexplode("lines").alias("claim", "l")).select("doc_id", "claim", part(F.col("l")).alias("parts"), F.regexp_extract("l", "^[^ ]+", 0).alias("target"))
     return claims.align(docs.select("doc_id", "text"), asked, "doc_id")
 

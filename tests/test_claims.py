@@ -66,6 +66,22 @@ def test_alignment_equals_a_plain_loop(spark):
     assert rows == want and len(rows) > 60
 
 
+def test_a_text_meets_its_claims_in_groups(spark, monkeypatch):
+    """A text goes along once for each PARTS parts, not once a part, and repeats go on from group to group."""
+    lines = ["same", "other line", "same", "x y", "same"] * 8
+    text = "\n".join(lines)
+    texts = spark.createDataFrame([(1, text)], "k long, text string")
+    asked = [(1, c, [line, line.replace(" ", " \t ")], "same") for c, line in enumerate(lines)]
+    want = plain_align(text, [a[1:] for a in asked])
+    asked = spark.createDataFrame(asked, "k long, claim int, parts array<string>, target string")
+    for parts in (10, 4096):
+        monkeypatch.setattr(claims, "PARTS", parts)
+        got = claims.align(texts, asked, "k")
+        rows = sorted((r["claim"], r["text"], [tuple(s) for s in r["spans"]], tuple(r["target"])) for r in got.collect())
+        assert rows == want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # no text is repeated for a part after the join
+
+
 def test_repeats_get_places_of_their_own(spark):
     texts = spark.createDataFrame([(1, "yes no yes  maybe yes")], "k long, text string")
     asked = spark.createDataFrame([(1, 0, ["yes", "yes"], "no"), (1, 1, ["yes"], None), (1, 2, ["yes"], None), (1, 3, ["yes maybe"], None)], "k long, claim int, parts array<string>, target string")
