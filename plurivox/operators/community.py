@@ -3,8 +3,8 @@
 Many graphs (`run`) are clustered at once: the resolutions of a sweep, or the induced subgraphs of all macro communities. A node moves to
 the neighbouring community of largest gain w(node, c) - gamma * k(node) * K(c) / 2m. A graph of at most `BLOCK_ARCS` arcs is
 clustered whole by one task. A larger one first goes through distributed levels: its nodes are dealt to blocks of
-bounded size, each block settles its nodes in turn against frozen labels outside, half of the nodes a round, and nodes with more than
-`HUB` arcs move by grouped sums instead of in a block; when modularity stops rising the graph is contracted to its communities,
+bounded size, each block settles its nodes in turn against frozen labels outside, three of four nodes a round, and nodes with more than
+`HUB` arcs move by grouped sums instead of in a block, half of them a round; when modularity hardly rises the graph is contracted to its communities,
 and so on until it fits a block or nothing merges. Each round and level is a table in the shared folder.
 
 Results depend on the graph alone, not on the order of its rows: nodes are visited in an order drawn from a fixed seed. Labels are the
@@ -14,10 +14,12 @@ smallest node of each community. Nodes are longs; links are a < b with w > 0, ea
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ BLOCK_ARCS = 1_000_000
 HUB = 20_000
 #: Distributed rounds of one level; the best labels so far are kept.
 MOST_ROUNDS = 24
+#: Share of the modularity that a round must add, or else, the second time in a row, the level ends and its contracted graph goes on.
+ENOUGH = 0.01
 #: Orders of the nodes that a whole graph is clustered from.
 STARTS = 2
 #: Resolutions of a sweep.
@@ -177,24 +181,77 @@ def _found(labels: pa.Table, start: int, value: float) -> pa.Table:
     return labels.append_column("start", pa.array(np.full(n, start, np.int32))).append_column("quality", pa.array(np.full(n, value)))
 
 
-def _part(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
-    """A block of a larger graph: nodes outside it, and those whose turn it is not, keep their labels."""
+_CELL = "run long, block int, scale double, double_m double, ids binary, k binary, outside binary, first binary, near binary, w binary"
+_SENT = "run long, block int, nodes binary, labels binary, totals binary, lone binary"
+
+
+def _cell(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
+    """A block of a larger graph as one row: its nodes, those outside that they touch, and its arcs as places in both."""
     order = np.argsort(_column(nodes, "node"), kind="stable")
-    ids, own, k = (_column(nodes, c)[order] for c in ("node", "label", "k"))
-    if not len(ids):
-        return _result(0, ids.astype(np.int64), own)
+    ids, k = _column(nodes, "node")[order], _column(nodes, "k")[order]
     by = np.lexsort((_column(arcs, "b"), _column(arcs, "a")))
-    a, b, w, lb, tb = (_column(arcs, c)[by] for c in ("a", "b", "w", "lb", "tb"))
-    outside, at = np.unique(b[~np.isin(b, ids)], return_index=True)
-    far = np.flatnonzero(~np.isin(b, ids))[at]
-    places = np.where(np.isin(b, ids), np.searchsorted(ids, b), len(ids) + np.searchsorted(outside, b))
-    labels, dense = np.unique(np.concatenate([own, lb[far]]), return_inverse=True)
+    a, b, w = (_column(arcs, c)[by] for c in ("a", "b", "w"))
+    own = np.isin(b, ids)
+    outside, at = np.unique(b[~own], return_inverse=True)
+    near = np.zeros(len(b), np.int64)
+    near[own], near[~own] = np.searchsorted(ids, b[own]), len(ids) + at
+    first = _rows(np.searchsorted(ids, a), len(ids))
+    cells = {c: pa.array([x.tobytes()], pa.binary()) for c, x in {"ids": ids, "k": k, "outside": outside, "first": first, "near": near.astype(np.int32), "w": w}.items()}
+    one = {c: nodes[c][:1] for c in ("run", "block", "scale", "double_m")}
+    return pa.table(one | cells).slice(0, nodes.num_rows)
+
+
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with their label, its total and whether they are alone in it, packed for each of the blocks that touch them."""
+    for batch in batches:
+        run, node, label, total = (batch[c].to_numpy() for c in ("run", "node", "label", "total"))
+        lone = batch["k"].to_numpy() == total
+        to, row = batch["to"].flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["to"]).to_numpy())
+        order = np.lexsort((to, run[row]))
+        to, row = to[order], row[order]
+        cuts = np.flatnonzero(np.append(True, (np.diff(to) != 0) | (np.diff(run[row]) != 0)))
+        parts = np.split(row, cuts[1:]) if len(row) else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(run[p[0]]) for p in parts], pa.int64()), pa.array([int(to[c]) for c in cuts[: len(parts)]], pa.int32()), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (node, label, total, lone))],
+            names=["run", "block", "nodes", "labels", "totals", "lone"],
+        )
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
+
+
+def _moves(ids: np.ndarray, turn: int) -> np.ndarray:
+    """Whose turn it is: three of four nodes, others each time."""
+    x = (ids.astype(np.uint64) + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) & np.uint64(3) != 0
+
+
+def _part(turn: int, cell: pa.Table, sent: pa.Table) -> pa.Table:
+    """The nodes of a block after a round: nodes outside it, and those whose turn it is not, keep their labels. `quality` of the first
+    row is the block's share of the modularity before the round."""
+    if not cell.num_rows:
+        return _result(0, np.zeros(0, np.int64), np.zeros(0, np.int64)).append_column("quality", pa.array(np.zeros(0)))
+    ids, outside, first = (_unpacked(cell[c], np.int64) for c in ("ids", "outside", "first"))
+    near, k, w = _unpacked(cell["near"], np.int32), _unpacked(cell["k"], np.float64), _unpacked(cell["w"], np.float64)
+    scale = cell["scale"][0].as_py()
+    nodes = _unpacked(sent["nodes"], np.int64)
+    order = np.argsort(nodes)
+    at = order[np.searchsorted(nodes, np.concatenate([ids, outside]), sorter=order)]
+    seen = _unpacked(sent["totals"], np.float64)[at]
+    labels, dense = np.unique(_unpacked(sent["labels"], np.int64)[at], return_inverse=True)
     total = np.zeros(len(labels))
-    total[dense] = np.concatenate([_column(nodes, "total")[order], tb[far]])
-    turn = np.flatnonzero(_column(nodes, "turn")[order])
-    rng = np.random.default_rng(42)
-    moved = settle(_rows(np.searchsorted(ids, a), len(ids)), places, w, k, float(nodes["scale"][0].as_py()), dense, total, rng.permutation(turn))
-    return _result(nodes["run"][0].as_py(), ids, labels[moved])
+    total[dense] = seen
+    inside = w[np.repeat(dense[: len(ids)], np.diff(first)) == dense[near]].sum()
+    value = np.zeros(len(ids))
+    value[0] = (inside - scale * (k * seen[: len(ids)]).sum()) / cell["double_m"][0].as_py()
+    moved = settle(first, near, w, k, scale, dense, total, np.random.default_rng(42).permutation(np.flatnonzero(_moves(ids, turn))))
+    # two lone nodes of different blocks must not swap labels: only the one of the larger label goes
+    alone, ours, had = np.zeros(len(labels), bool), np.zeros(len(labels), bool), dense[: len(ids)]
+    alone[dense], ours[had] = _unpacked(sent["lone"], np.bool_)[at], True
+    moved = np.where(alone[had] & alone[moved] & ~ours[moved] & (moved > had), had, moved)
+    return _result(cell["run"][0].as_py(), ids, labels[moved]).append_column("quality", pa.array(value))
 
 
 # ---- distributed levels ----------------------------------------------------------------------
@@ -205,60 +262,55 @@ def _sizes(arcs: DataFrame) -> dict[int, int]:
     return {r["run"]: r["n"] for r in arcs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ARCS).collect()}
 
 
-def _block(node: Column, run: Column, blocks: dict[int, int], turn: int) -> Column:
+def _block(node: str, blocks: dict[int, int]) -> Column:
     out = F.lit(1)
     for r, n in blocks.items():
-        out = F.when(run == r, n).otherwise(out)
-    return F.pmod(F.xxhash64(node, F.lit(turn)), out).cast("int")
+        out = F.when(F.col("run") == r, n).otherwise(out)
+    return F.pmod(F.xxhash64(node), out).cast("int")
 
 
-def _quality(arcs: DataFrame, nodes: DataFrame) -> float:
-    """Sum of the modularities of all graphs, arcs of a contracted node with itself left out."""
-    of = nodes.select("run", "node", "label")
-    inside = _meet(_meet(arcs, of.select("run", F.col("node").alias("a"), F.col("label").alias("la")), ["run", "a"]), of.select("run", F.col("node").alias("b"), F.col("label").alias("lb")), ["run", "b"]).where("la = lb").groupBy("run").agg(F.sum("w").alias("w"))
-    degree = nodes.groupBy("run", "label").agg(F.sum("k").alias("k"), F.first("scale").alias("scale"), F.first("double_m").alias("m"))
-    expected = degree.groupBy("run").agg(F.sum(F.col("scale") * F.col("k") * F.col("k")).alias("e"), F.first("m").alias("m"))
-    return expected.join(inside, "run", "left").agg(F.sum((F.coalesce("w", F.lit(0.0)) - F.col("e")) / F.col("m"))).first()[0] or 0.0
-
-
-def _round(arcs: DataFrame, nodes: DataFrame, blocks: dict[int, int], turn: int, hubs: bool) -> DataFrame:
-    """run, node, label after one round of all blocks."""
+def _round(cells: DataFrame, hub_arcs: DataFrame | None, nodes: DataFrame, turn: int) -> DataFrame:
+    """run, node, label after one round of all blocks, and `quality`, whose sum is that of the modularities before it."""
     totals = nodes.groupBy("run", "label").agg(F.sum("k").alias("total"))
     full = _meet(nodes, totals, ["run", "label"])
-    votes = _meet(arcs, full.select("run", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("tb")), ["run", "b"])
-    half = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    light = votes.join(full.where("hub").select("run", F.col("node").alias("a")), ["run", "a"], "left_anti") if hubs else votes
-    block = lambda c: _block(F.col(c), F.col("run"), blocks, turn // 2).alias("block")
-    left = full.where(~F.col("hub")).select("run", block("node"), "node", "label", "k", "scale", "total", half.alias("turn"))
-    moved = _apart(left).groupBy("run", "block").cogroup(light.select("run", block("a"), "a", "b", "w", "lb", "tb").groupBy("run", "block")).applyInArrow(_part, _MOVED)
-    if not hubs:
+    sent = full.select("run", "node", "k", "label", "total", "to").mapInArrow(_sent, _SENT)
+    moved = cells.groupBy("run", "block").cogroup(sent.groupBy("run", "block")).applyInArrow(partial(_part, turn), _MOVED + ", quality double")
+    if hub_arcs is None:
         return moved
-    own = full.where("hub").select("run", F.col("node").alias("a"), "label", "k", "scale", "total")
-    sums = votes.join(own.select("run", "a"), ["run", "a"]).groupBy("run", "a", F.col("lb").alias("c")).agg(F.sum("w").alias("w"), F.first("tb").alias("t"))
+    votes = _meet(hub_arcs, full.select("run", F.col("node").alias("b"), F.col("label").alias("c"), F.col("total").alias("t")), ["run", "b"])
+    own = _apart(full.where("hub").select("run", F.col("node").alias("a"), "label", "k", "scale", "double_m", "total"))
+    sums = votes.groupBy("run", "a", "c").agg(F.sum("w").alias("w"), F.first("t").alias("t"))
     sums = sums.unionByName(own.select("run", "a", F.col("label").alias("c"), F.lit(0.0).alias("w"), F.col("total").alias("t"))).groupBy("run", "a", "c").agg(F.sum("w").alias("w"), F.first("t").alias("t"))
-    gain = F.col("w") - F.col("scale") * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("label"), F.col("k")).otherwise(0.0))
-    best = sums.join(own, ["run", "a"]).groupBy("run", F.col("a").alias("node")).agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("label")), -F.col("c"))).alias("next"), F.first("label").alias("label"))
-    return moved.unionByName(best.select("run", "node", F.when(half, F.col("next")).otherwise(F.col("label")).alias("label")))
+    stays = F.col("c") == F.col("label")
+    gain = F.col("w") - F.col("scale") * F.col("k") * (F.col("t") - F.when(stays, F.col("k")).otherwise(0.0))
+    best = _apart(sums).join(own, ["run", "a"]).groupBy("run", F.col("a").alias("node")).agg(F.max_by("c", F.struct(gain, stays, -F.col("c"))).alias("next"), F.first("label").alias("label"), F.sum(F.when(stays, (F.col("w") - F.col("scale") * F.col("k") * F.col("t")) / F.col("double_m"))).alias("quality"))
+    half = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+    return moved.unionByName(best.select("run", "node", F.when(half, F.col("next")).otherwise(F.col("label")).alias("label"), "quality"))
 
 
 def _level(arcs: DataFrame, nodes: DataFrame, sizes: dict[int, int], checkpoint: Checkpoint) -> DataFrame:
-    """run, node, label of one level of the graphs of `sizes`."""
+    """run, node, label of one level of the graphs of `sizes`. The arcs of a block are packed once; a round sends each block the labels of the nodes it touches."""
     big = F.col("run").isin(*sizes)
-    arcs = arcs.where(big)
-    heavy = arcs.groupBy("run", F.col("a").alias("node")).agg(F.count("*").alias("arcs")).where(F.col("arcs") > HUB).select("run", "node", F.lit(True).alias("hub"))
-    state = checkpoint(nodes.where(big).join(heavy, ["run", "node"], "left").select("run", "node", "k", "scale", "double_m", F.coalesce("hub", F.lit(False)).alias("hub"), F.col("node").alias("label")))
-    hubs = not state.where("hub").isEmpty()
-    blocks = {r: -(-n // BLOCK_ARCS) for r, n in sizes.items()}
-    best, most, idle = state, _quality(arcs, state), 0
-    for turn in range(MOST_ROUNDS):
-        moved = _round(arcs, state, blocks, turn, hubs)
-        state = checkpoint(_meet(state.drop("label"), moved, ["run", "node"]))
-        now = _quality(arcs, state)
-        idle = 0 if now > most + 1e-6 else idle + 1
+    arcs, blocks = arcs.where(big), {r: -(-n // BLOCK_ARCS) for r, n in sizes.items()}
+    touched = arcs.groupBy("run", F.col("a").alias("node")).agg(F.count("*").alias("arcs"), F.collect_set(_block("b", blocks)).alias("to"))
+    own, hub = _block("node", blocks), F.coalesce(F.col("arcs") > HUB, F.lit(False))
+    to = F.array_union(F.coalesce("to", F.array().cast("array<int>")), F.array(own))
+    state = checkpoint(_meet(nodes.where(big), touched, ["run", "node"], "left").select("run", "node", "k", "scale", "double_m", hub.alias("hub"), own.alias("block"), to.alias("to"), F.col("node").alias("label")))
+    hubs, hub_arcs, light = state.where("hub").select("run", F.col("node").alias("a")), None, arcs
+    if not hubs.isEmpty():
+        hub_arcs, light = checkpoint(arcs.join(hubs, ["run", "a"])), arcs.join(hubs, ["run", "a"], "left_anti")
+    cells = state.where(~F.col("hub")).select("run", "block", "node", "k", "scale", "double_m")
+    cells = checkpoint(cells.groupBy("run", "block").cogroup(light.select("run", _block("a", blocks).alias("block"), "a", "b", "w").groupBy("run", "block")).applyInArrow(_cell, _CELL))
+    best, most, idle = state, -np.inf, 0
+    for turn in range(MOST_ROUNDS + 1):
+        after = checkpoint(_meet(state.drop("label", "quality"), _round(cells, hub_arcs, state, turn), ["run", "node"]))
+        now = after.agg(F.sum("quality")).first()[0]  # of the labels before the round
+        idle = 0 if now > most + max(1e-6, ENOUGH * most) else idle + 1
         if now > most:
             best, most = state, now
-        if idle == 2:  # neither half of the nodes gains
+        if idle == 2:  # what is left to gain the next level finds sooner
             break
+        state = after
     return best.select("run", "node", "label")
 
 
