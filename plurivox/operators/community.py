@@ -5,7 +5,7 @@ the neighbouring community of largest gain w(node, c) - gamma * k(node) * K(c) /
 clustered whole by one task. A larger one first goes through distributed levels: its nodes are dealt to blocks of
 bounded size, each block settles its nodes in turn against frozen labels outside, three of four nodes a round, and nodes with more than
 `HUB` arcs move by grouped sums instead of in a block, half of them a round; when modularity hardly rises the graph is contracted to its communities,
-and so on until it fits a block or nothing merges. Each round and level is a table in the shared folder.
+and so on until it fits a block or nothing merges; at the end the nodes themselves go through such rounds again. Each round and level is a table in the shared folder.
 
 Results depend on the graph alone, not on the order of its rows: nodes are visited in an order drawn from a fixed seed. Labels are the
 smallest node of each community. Nodes are longs; links are a < b with w > 0, each pair once; nodes without links are not in the result.
@@ -288,8 +288,8 @@ def _round(cells: DataFrame, hub_arcs: DataFrame | None, nodes: DataFrame, turn:
     return moved.unionByName(best.select("run", "node", F.when(half, F.col("next")).otherwise(F.col("label")).alias("label"), "quality"))
 
 
-def _level(arcs: DataFrame, nodes: DataFrame, sizes: dict[int, int], checkpoint: Checkpoint) -> DataFrame:
-    """run, node, label of one level of the graphs of `sizes`. The arcs of a block are packed once; a round sends each block the labels of the nodes it touches."""
+def _packed(arcs: DataFrame, nodes: DataFrame, sizes: dict[int, int], checkpoint: Checkpoint) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The graphs of `sizes` for the rounds of a level: arcs packed by block, those of hubs, and the nodes, each its own label and with the blocks that touch it."""
     big = F.col("run").isin(*sizes)
     arcs, blocks = arcs.where(big), {r: -(-n // BLOCK_ARCS) for r, n in sizes.items()}
     touched = arcs.groupBy("run", F.col("a").alias("node")).agg(F.count("*").alias("arcs"), F.collect_set(_block("b", blocks)).alias("to"))
@@ -301,6 +301,11 @@ def _level(arcs: DataFrame, nodes: DataFrame, sizes: dict[int, int], checkpoint:
         hub_arcs, light = checkpoint(arcs.join(hubs, ["run", "a"])), arcs.join(hubs, ["run", "a"], "left_anti")
     cells = state.where(~F.col("hub")).select("run", "block", "node", "k", "scale", "double_m")
     cells = checkpoint(cells.groupBy("run", "block").cogroup(light.select("run", _block("a", blocks).alias("block"), "a", "b", "w").groupBy("run", "block")).applyInArrow(_cell, _CELL))
+    return cells, hub_arcs, state
+
+
+def _level(cells: DataFrame, hub_arcs: DataFrame | None, state: DataFrame, checkpoint: Checkpoint) -> DataFrame:
+    """run, node, label after rounds from the labels of `state`, each of which sends a block the labels of the nodes it touches."""
     best, most, idle = state, -np.inf, 0
     for turn in range(MOST_ROUNDS + 1):
         after = checkpoint(_meet(state.drop("label", "quality"), _round(cells, hub_arcs, state, turn), ["run", "node"]))
@@ -321,18 +326,28 @@ def partition(links: DataFrame, checkpoint: Checkpoint) -> DataFrame:
     degree = arcs.groupBy("run", F.col("a").alias("node")).agg(F.sum("w").alias("k"), F.first("gamma").alias("gamma"))
     whole = degree.groupBy("run").agg(F.sum("k").alias("double_m"))
     nodes = degree.join(whole, "run").select("run", "node", "k", (F.col("gamma") / F.col("double_m")).alias("scale"), "double_m")
-    arcs, members = arcs.drop("gamma"), None
+    arcs, members, finest, first = arcs.drop("gamma"), None, None, {}
+
+    def finished(found: DataFrame) -> DataFrame:
+        """Once more rounds over the nodes themselves, from the communities of their contracted graph."""
+        cells, hub_arcs, state = finest
+        moved = _level(cells, hub_arcs, checkpoint(_meet(state.drop("label"), found, ["run", "node"])), checkpoint)
+        return _named(checkpoint(found.where(~F.col("run").isin(*first)).unionByName(moved)))
+
     while True:
         sizes = _sizes(arcs)
         if not sizes:
             break
         nodes = checkpoint(nodes)
         big = F.col("run").isin(*sizes)
-        labels = checkpoint(_level(arcs, nodes, sizes, checkpoint).unionByName(nodes.where(~big).select("run", "node", F.col("node").alias("label"))))
+        packed = _packed(arcs, nodes, sizes, checkpoint)
+        if finest is None:
+            finest, first = packed, sizes
+        labels = checkpoint(_level(*packed, checkpoint).unionByName(nodes.where(~big).select("run", "node", F.col("node").alias("label"))))
         before, after = nodes.where(big).count(), labels.where(big).select("run", "label").distinct().count()
         members = labels if members is None else checkpoint(_meet(members.withColumnRenamed("label", "via"), labels.withColumnRenamed("node", "via"), ["run", "via"]).select("run", "node", "label"))
         if after == before:
-            return _named(members)
+            return finished(members)
         nodes = _meet(nodes, labels, ["run", "node"]).groupBy("run", F.col("label").alias("node")).agg(F.sum("k").alias("k"), F.first("scale").alias("scale"), F.first("double_m").alias("double_m"))
         side = lambda c, to: labels.select("run", F.col("node").alias(c), F.col("label").alias(to))
         arcs = checkpoint(_meet(_meet(arcs, side("a", "la"), ["run", "a"]), side("b", "lb"), ["run", "b"]).where("la != lb").groupBy("run", F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
@@ -346,7 +361,7 @@ def partition(links: DataFrame, checkpoint: Checkpoint) -> DataFrame:
     top = checkpoint(tried.join(best, ["run", "start"]).select("run", "node", "label"))
     if members is None:
         return top
-    return _named(_meet(members.withColumnRenamed("label", "via"), top.withColumnRenamed("node", "via"), ["run", "via"]).select("run", "node", "label"))
+    return finished(checkpoint(_meet(members.withColumnRenamed("label", "via"), top.withColumnRenamed("node", "via"), ["run", "via"]).select("run", "node", "label")))
 
 
 def _named(members: DataFrame) -> DataFrame:
