@@ -11,6 +11,8 @@ from . import community
 from .ordering import numbered
 
 Checkpoint = Callable[[DataFrame], DataFrame]
+#: Shuffles of a partition that stand for chance.
+SHUFFLES = 3
 
 
 def sampled(node: str, seed: int, share: float):
@@ -50,17 +52,22 @@ def nestedness(fine: DataFrame, coarse: DataFrame) -> float:
     return row[0] / row[1] if row[1] else 0.0
 
 
-def shuffled(labels: DataFrame, seed: int, checkpoint: Checkpoint) -> DataFrame:
-    """node, label with the labels dealt to other nodes: the k-th node gets the label of the k-th in the order of a hash."""
+def shuffles(labels: DataFrame, seeds: range, checkpoint: Checkpoint) -> list[DataFrame]:
+    """node, label of each seed, the labels dealt to other nodes: the k-th node gets the label of the k-th in the order of a hash. The nodes are numbered once."""
     places = numbered(labels.select("node"), ["node"], "place", checkpoint)
-    dealt = numbered(labels.select("node", "label"), [F.xxhash64(F.lit(seed), F.col("node")), F.col("node")], "place", checkpoint)
-    return places.join(dealt.select("place", "label"), "place").select("node", "label")
+    dealt = (numbered(labels.select("node", "label"), [F.xxhash64(F.lit(seed), F.col("node")), F.col("node")], "place", checkpoint) for seed in seeds)
+    return [places.join(d.select("place", "label"), "place").select("node", "label") for d in dealt]
+
+
+def shuffled(labels: DataFrame, seed: int, checkpoint: Checkpoint) -> DataFrame:
+    return shuffles(labels, range(seed, seed + 1), checkpoint)[0]
 
 
-def cleanliness(fine: DataFrame, coarse: DataFrame, checkpoint: Checkpoint, shuffles: int = 3) -> float:
-    """Nestedness as the share of what chance leaves: 1 for a clean nesting, 0 for that of shuffled labels."""
+def cleanliness(fine: DataFrame, coarse: DataFrame, checkpoint: Checkpoint, chances: list[DataFrame] | None = None) -> float:
+    """Nestedness as the share of what chance leaves: 1 for a clean nesting, 0 for that of shuffled labels (`chances`: of `coarse`, where they are at hand)."""
     seen = nestedness(fine, coarse)
-    chance = sum(nestedness(fine, checkpoint(shuffled(coarse, seed, checkpoint))) for seed in range(shuffles)) / shuffles
+    chances = chances or shuffles(coarse, range(SHUFFLES), checkpoint)
+    chance = sum(nestedness(fine, c) for c in chances) / len(chances)
     return (seen - chance) / max(1 - chance, 1e-9)
 
 
@@ -79,9 +86,14 @@ def chain(neighbours: DataFrame, ks: list[int], threshold: float, checkpoint: Ch
     part = lambda k: labels.where(F.col("run") == k).select("node", "label")
     levels = sorted(sizes.items(), reverse=True)
     rows = [(0, levels[0][1], levels[0][0], 1.0)] if levels else []
+    chances: dict[int, list[DataFrame]] = {}
     while rows:
         _, k, n, _ = rows[-1]
-        options = [(round(cleanliness(part(k), part(q), checkpoint), 6), size, q) for size, q in levels if size <= n / step]
+        below = [(size, q) for size, q in levels if size <= n / step]
+        for _, q in below:
+            if q not in chances:  # once a partition, whichever finer ones it meets
+                chances[q] = [checkpoint(c) for c in shuffles(part(q), range(SHUFFLES), checkpoint)]
+        options = [(round(cleanliness(part(k), part(q), checkpoint, chances[q]), 6), size, q) for size, q in below]
         if not options:
             break
         clean, size, q = max(options, key=lambda o: (o[0], o[1]))

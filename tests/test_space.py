@@ -113,3 +113,11 @@ def test_shape(spark):
     nodes = spark.createDataFrame([(k, 0 if k < 9 else 9, 0 if k < 6 else 6 if k < 9 else 9) for k in range(12)], "node long, macro long, leaf long")
     r = stability.shape(nodes).first()
     assert (r["macros"], r["structured"], r["depth"], r["leaves"], r["median_leaf"], r["orphans"]) == (2, 0.5, 2, 3, 3.0, 2)
+
+
+def test_shuffles_number_the_nodes_once(spark):
+    labels = spark.createDataFrame([(n, n % 3) for n in range(30)], "node long, label long")
+    written = []
+    rows = stability.shuffles(labels, range(3), lambda df: written.append(df.columns) or checkpointed(df))
+    assert len(written) == 4  # the nodes once, and the labels of each seed
+    assert [sorted(r.collect()) for r in rows] == [sorted(stability.shuffled(labels, s, checkpointed).collect()) for s in range(3)]
