@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,10 +69,14 @@ def pick_keywords(terms: DataFrame, key: str, k: int) -> DataFrame:
     return terms.groupBy(key).applyInPandas(pick, schema)
 
 
+def _neighbours(ts: Column) -> Column:
+    """Each token with its next; null where either is null."""
+    return F.zip_with(F.slice(ts, 1, F.greatest(F.size(ts) - 1, F.lit(0))), F.slice(ts, 2, F.size(ts)), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def with_bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term of 1- and 2-grams of tokens within a document."""
-    pairs = lambda ts: F.zip_with(F.slice(ts, 1, F.greatest(F.size(ts) - 1, F.lit(0))), F.slice(ts, 2, F.size(ts)), lambda a, b: F.concat_ws(" ", a, b))
-    return docs.select(key, F.explode(let(tokens(F.col(text)), lambda ts: F.concat(ts, pairs(ts)))).alias("term"))
+    return docs.select(key, F.explode(let(tokens(F.col(text)), lambda ts: F.concat(ts, _neighbours(ts)))).alias("term"))
 
 
 def class_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,6 +89,78 @@ def class_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
     return counts.join(totals, "term").join(sizes, key).crossJoin(F.broadcast(mean)).select(key, "term", tf.alias("tf"), (tf * F.log(1 + F.col("a") / F.col("f"))).alias("weight"))
 
 
+def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, n, docs, f: how often a class has each token, in how many texts, and how often all classes have it; the empty term stands for texts with tokens, once in each.
+
+    Tokens are counted batch by batch, so what meets by term is a row for each token of a batch and class."""
+    of = docs.schema[key].dataType.simpleString()
+
+    def count(batches):
+        for batch in batches:
+            keys, texts = pc.dictionary_encode(batch.column(0), null_encoding="encode"), batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy().astype(np.int64)
+            terms = texts.flatten().dictionary_encode()
+            words, held = len(terms.dictionary) + 1, np.flatnonzero(sizes)
+            # the last code is the empty term
+            code = np.concatenate([terms.indices.to_numpy(), np.full(len(held), words - 1)])
+            pairs, n = np.unique(np.concatenate([np.repeat(np.arange(len(sizes)), sizes), held]) * words + code, return_counts=True)
+            classes = keys.indices.to_numpy().astype(np.int64)
+            found = pa.table({"c": classes[pairs // words] * words + pairs % words, "n": n}).group_by("c", use_threads=False).aggregate([("n", "sum"), ("n", "count")])
+            c = found["c"].to_numpy()
+            spelt = pa.concat_arrays([terms.dictionary, pa.array([""], terms.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(c // words)), spelt.take(pa.array(c % words)), *(found[x].combine_chunks() for x in ("n_sum", "n_count"))], ["key", "term", "n", "docs"])
+
+    rows = docs.select(key, tokens(F.col(text)).alias("ts")).mapInArrow(count, f"key {of}, term string, n long, docs long").withColumnRenamed("key", key)
+    counts = rows.repartition("term").groupBy(key, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counts.withColumn("f", F.sum("n").over(W.partitionBy("term")))
+
+
+#: Bits of `among`, as many for any table.
+SLOTS = 1 << 20
+
+
+def among(terms: DataFrame) -> Callable[[Column], Column]:
+    """Whether a string is one of `terms` (term); also true of the few others that share a bit with one."""
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS))
+    slots = terms.select(place(F.col("term")).alias("slot")).groupBy(F.expr("CAST(slot DIV 64 AS INT)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits"))
+    held = {r["at"]: r["bits"] for r in slots.collect()}
+    bits = F.split(F.lit(",".join(str(held.get(at, 0)) for at in range(SLOTS // 64))), ",").cast("array<bigint>")
+    return lambda t: F.getbit(F.get(bits, F.shiftright(place(t), 6).cast("int")), (place(t) % 64).cast("int")) == 1
+
+
+def heavy_grams(docs: DataFrame, counts: DataFrame, key: str, text: str, k: int, checkpoint: Callable[[DataFrame], DataFrame], stop: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, weight of 1- and 2-grams within documents, with `counts` those of `token_counts`: tf the term's share of its class's grams, weight (of nine digits)
+    tf * ln(1 + A / f) with A the mean grams of a class and f the term's own. Of each class come its grams, without those that hold a word of `stop` (term), down to the
+    weight of its k-th heaviest token, or all where it has fewer tokens.
+
+    A term that a class has n times weighs n / size * ln(1 + A / n) at most, as f is n or more; that grows with n, and no 2-gram is more frequent than its words.
+    So only 2-grams of words that could weigh enough are counted."""
+    words = counts.where(F.col("term") != "").select(key, "term", "n", "f")
+    sizes = checkpoint(counts.groupBy(key).agg(F.sum(F.when(F.col("term") == "", -F.col("n")).otherwise(2 * F.col("n"))).alias("size")))
+    mean = sizes.agg(F.avg("size").alias("a"))
+    tf = F.col("n") / F.col("size")
+
+    def weighed(rows: DataFrame, f: str) -> DataFrame:
+        return rows.join(sizes, key).crossJoin(F.broadcast(mean)).select(key, "term", "n", "f", tf.alias("tf"), (tf * F.log(1 + F.col("a") / F.col(f))).alias("weight"))
+
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("weight")))
+    named = words if stop is None else words.join(stop, "term", "left_anti")
+    floors = checkpoint(weighed(named, "f").withColumn("place", place).where(F.col("place") == k).select(key, F.round("weight", 9).alias("floor")))
+    floor = F.coalesce("floor", F.lit(0.0))
+    # far more than what rounding adds to a weight
+    able = weighed(words, "n").join(floors, key, "left").where(F.col("weight") + 1e-8 >= floor).select("term").distinct()
+    able = checkpoint(able if stop is None else able.join(stop, "term", "left_anti"))
+    able_to = among(able)
+    twos = let(F.transform(tokens(F.col(text)), lambda t: F.when(able_to(t), t)), lambda ts: F.array_compact(_neighbours(ts)))
+    pairs = checkpoint(docs.select(key, F.explode(twos).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n")))
+    if stop is not None:  # `among` lets a few pass
+        parts = pairs.select("term", F.explode(F.split("term", " ")).alias("w"))
+        pairs = pairs.join(parts.join(stop.select(F.col("term").alias("w")), "w", "left_semi").select("term").distinct(), "term", "left_anti")
+    pairs = pairs.join(pairs.groupBy("term").agg(F.sum("n").alias("f")), "term")
+    grams = weighed(words.join(able, "term", "left_semi").unionByName(pairs), "f").join(floors, key, "left")
+    return grams.select(key, "term", "tf", F.round("weight", 9).alias("weight"), "floor").where(F.col("weight") >= floor).drop("floor")
+
+
 #: Ranked terms of a class that the first pick reads; a class that they do not fill is read four times deeper, and so on.
 DEPTH = 64
 

@@ -172,8 +172,11 @@ def ctfidf_grams(spark, d):
 def keyword_picks(spark, d):
     """Keywords of each theme: the heaviest grams without stop words and without repeats of their words."""
     docs = read(spark, d, "documents")
-    stop = naming.stop_words(naming.frequencies(docs, "text"))
-    return naming.keywords(checkpointed(naming.class_grams(docs, "source", "text")), checkpointed(stop), "source", 8, checkpointed)
+    counts = checkpointed(naming.token_counts(docs, "source", "text"))
+    df = counts.where(F.col("term") != "").groupBy("term").agg(F.sum("docs").alias("df"))
+    stop = checkpointed(naming.stop_words(checkpointed(df)).select("term"))
+    # a pick keeps two words out at most, so the grams down to the 15th word hold all eight picks
+    return naming.keywords(checkpointed(naming.heavy_grams(docs, counts, "source", "text", 15, checkpointed, stop)), stop, "source", 8, checkpointed)
 
 
 QUERIES, ORACLES = C.queries, C.oracles
