@@ -79,16 +79,6 @@ def with_bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(let(tokens(F.col(text)), lambda ts: F.concat(ts, _neighbours(ts)))).alias("term"))
 
 
-def class_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, weight of 1- and 2-grams within documents: tf the term's share of its class's grams, weight tf * ln(1 + A / f) with A the mean grams of a
-    class and f the term's own."""
-    counts = with_bigrams(docs, key, text).groupBy(key, "term").agg(F.count("*").alias("n"))
-    totals, sizes = counts.groupBy("term").agg(F.sum("n").alias("f")), counts.groupBy(key).agg(F.sum("n").alias("size"))
-    mean = sizes.agg(F.avg("size").alias("a"))
-    tf = F.col("n") / F.col("size")
-    return counts.join(totals, "term").join(sizes, key).crossJoin(F.broadcast(mean)).select(key, "term", tf.alias("tf"), (tf * F.log(1 + F.col("a") / F.col("f"))).alias("weight"))
-
-
 def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, n, docs, f: how often a class has each token, in how many texts, and how often all classes have it; the empty term stands for texts with tokens, once in each.
 

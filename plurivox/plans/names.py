@@ -161,9 +161,11 @@ _GRAMS = f"""t AS (SELECT source, {_TOK} AS ts FROM documents), g AS (SELECT sou
 @C.query(f"WITH {_GRAMS} SELECT source, term, round(tf, 9) AS tf, round(weight, 9) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(weight, 9) DESC, term) AS rank FROM w) WHERE rank <= 15")
 def ctfidf_grams(spark, d):
     """The heaviest 1- and 2-grams of each theme."""
-    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("weight", 9)), "term"))
-    top = naming.class_grams(read(spark, d, "documents"), "source", "text").withColumn("rank", rank).where("rank <= 15")
-    return top.select("source", "term", F.round("tf", 9).alias("tf"), F.round("weight", 9).alias("weight"), "rank")
+    docs = read(spark, d, "documents")
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("weight"), "term"))
+    grams = naming.heavy_grams(docs, checkpointed(naming.token_counts(docs, "source", "text")), "source", "text", 15, checkpointed)
+    top = grams.withColumn("rank", rank).where("rank <= 15")
+    return top.select("source", "term", F.round("tf", 9).alias("tf"), "weight", "rank")
 
 
 @C.query(f"""WITH {_STOP}, {_GRAMS}, o AS (SELECT source, list(term ORDER BY round(weight, 9) DESC, term) AS ts FROM w WHERE len(list_filter(string_split(term, ' '), lambda x: x IN (SELECT term FROM stop))) = 0 GROUP BY 1),

@@ -65,7 +65,7 @@ def test_heavy_grams_equal_a_count_of_all(spark, monkeypatch, slots, stop):
     assert {c for c, _ in want} == {"one", "two", "few"} and any(" " in t for c, t in want if c != "few")
 
 
-@pytest.mark.parametrize("name", ["keyword_picks"])
+@pytest.mark.parametrize("name", ["keyword_picks", "ctfidf_grams"])
 def test_only_grams_that_may_count_are_counted(spark, monkeypatch, tmp_path, name):
     """Tables of grams hold few of the 2-grams, whose number grows with the texts."""
     rng = random.Random(3)
